@@ -61,6 +61,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold the template's control strings."""
     from .chat_format import format_conversations, read_back
@@ -83,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_codec": op4_piece_codec,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_vector_search": op10_vector_search,
 }
