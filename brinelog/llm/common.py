@@ -144,3 +144,45 @@ def window_hashes(words: np.ndarray, size: int, base: int = 0xD6E8FEB86659FD93)
         h *= U64(base)
         h += words[k : k + n]
     return mix(h)
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Sorted unsigned numbers as compressed gaps; numbers of any order and kind work too, less densely."""
+    n, size = len(values), values.dtype.itemsize
+    if not n:
+        return b""
+    gaps = values.copy()
+    gaps[1:] -= values[:-1]
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(n, size).T)
+    return n.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def expand(data: bytes, dtype: str) -> np.ndarray:
+    """What ``squeeze`` was given."""
+    kind = np.dtype(dtype)
+    if not data:
+        return np.zeros(0, kind)
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], n * kind.itemsize, "zstd", asbytes=True)
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(kind.itemsize, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind)[:, 0], dtype=kind)
+
+
+def in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values occur in a sorted array."""
+    if not len(among):
+        return np.zeros(len(values), dtype=bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def blocked(df: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """(block, doc_id, text) hashed into blocks of about ``block_bytes`` of text and partitioned by block; all bytes of text; the number of blocks.
+
+    Later steps group by block, so that they share one shuffle of the texts.
+    """
+    docs = texts_of(df, id_col, text_col)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-total // block_bytes))
+    docs = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), "doc_id", "text")
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(max(1, min(n_blocks, max(default, n_blocks // 8))), "block"), total, n_blocks
