@@ -42,6 +42,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import decode, encode
 
@@ -96,6 +102,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_simhash_forest": op3_simhash_forest,
     "op4_piece_codec": op4_piece_codec,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
