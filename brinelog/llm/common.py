@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII space, tab, newline, VT, FF and CR.
@@ -175,14 +175,22 @@ def in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
-def blocked(df: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
-    """(block, doc_id, text) hashed into blocks of about ``block_bytes`` of text and partitioned by block; all bytes of text; the number of blocks.
+def carried(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[Column], str]:
+    """(doc_id, text, _0, _1, ...) with all other columns under neutral names; what restores the columns of ``df``; schema of the neutral ones."""
+    others = [c for c in df.columns if c not in (id_col, text_col)]
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(others)))
+    back = {id_col: "doc_id", text_col: "text"} | {c: f"_{k}" for k, c in enumerate(others)}
+    kinds = {c: rows.schema[name].dataType.simpleString() for c, name in back.items()}
+    return rows, [F.col(back[c]).alias(c) for c in df.columns], "".join(f", {back[c]} {kinds[c]}" for c in others)
+
+
+def blocked(df: DataFrame, block_bytes: int) -> tuple[DataFrame, int, int]:
+    """A table with doc_id and text, hashed into ``block``s of about ``block_bytes`` of text and partitioned by block; all bytes of text; the number of blocks.
 
     Later steps group by block, so that they share one shuffle of the texts.
     """
-    docs = texts_of(df, id_col, text_col)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    docs = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), "doc_id", "text")
+    docs = df.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), "*")
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return docs.repartition(max(1, min(n_blocks, max(default, n_blocks // 8))), "block"), total, n_blocks

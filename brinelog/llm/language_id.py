@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import carried, slices, texts_of
 
 BUCKETS, DIM, LONGEST = 1 << 16, 16, 4
 #: Documents of each language that the model learns from, at most (a fixed, hashed choice).
@@ -197,13 +197,11 @@ def fit(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return train([(r["text"], r["lang"]) for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, accepted) for every row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of as many numbers as there are languages
+def _identified(rows: DataFrame, model: Model, more: str = "") -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of as many numbers as there are languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = ["doc_id", "lang_pred", "score", "accepted"]
         for b in slices(batches, most=1 << 20):
             texts = b.column(1).to_pylist()
             known = np.array([bool(t and LETTER.search(t)) for t in texts]) & bool(m.langs)
@@ -211,6 +209,19 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             if known.any():
                 best, s = m.scores(m.logits([t for t, k in zip(texts, known, strict=True) if k]))
                 pred[known], score[known] = np.array(m.langs, dtype=object)[best], s
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(known & (score >= m.least))], names)
+            cols = [pa.array(pred, pa.string()), pa.array(score), pa.array(known & (score >= m.least))]
+            keep = range(b.num_columns) if more else (0,)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *cols], [*(b.schema.names[k] for k in keep), "lang_pred", "score", "accepted"])
+
+    return rows.mapInArrow(run, "doc_id long" + more + ", lang_pred string, score double, accepted boolean")
+
+
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, accepted) for every row."""
+    return _identified(texts_of(df, id_col, text_col), model)
+
 
-    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+def accepted(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of a table whose language is told with enough confidence, with its columns."""
+    rows, restore, more = carried(df, id_col, text_col)
+    return _identified(rows, model, ", text string" + more).where("accepted").select(*restore)

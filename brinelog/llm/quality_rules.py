@@ -27,7 +27,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import carried, texts_of, written
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -42,11 +42,11 @@ def _without(text: Column, chars: str) -> Column:
     return text
 
 
-def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the measures (all long) of every whole text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def measures(rows: DataFrame) -> DataFrame:
+    """The measures (all long) of every whole text of a table with doc_id and text, next to all its columns but the text."""
+    others = [c for c in rows.columns if c != "text"]
     trimmed = F.btrim(F.col("text"), F.lit(SPACES))
-    rows = texts_of(df, id_col, text_col).select("doc_id", text.alias("text"))
+    rows = rows.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     rows = rows.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+")))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
@@ -67,7 +67,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     size = F.octet_length("text")
     return rows.select(
-        "doc_id",
+        *others,
         F.size("words").cast("long").alias("n_words"),
         F.char_length(_without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
         (size - F.octet_length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -127,9 +127,8 @@ def fit(votes: DataFrame, steps: int = STEPS) -> dict[str, list[float]]:
     return {"share": [p["share"]], "on_good": list(p["on_good"]), "on_bad": list(p["on_bad"])}
 
 
-def judge(df: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the measures, base_failed, p_good and kept for every row."""
-    measured = written(measures(df, id_col, text_col), "measures")
+def _judged(rows: DataFrame, threshold: float) -> DataFrame:
+    measured = written(measures(rows), "measures")
     votes = F.array(*rules().values())
     p = fit(measured.select(votes.alias("votes")))
     logit = F.lit(math.log(p["share"][0] / (1 - p["share"][0])))
@@ -138,3 +137,17 @@ def judge(df: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_co
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = measured.select("*", failed.alias("base_failed"), (1 / (1 + F.exp(-logit))).alias("p_good"), votes.alias("votes"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
+def judge(df: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the measures, base_failed, p_good, votes and kept for every row."""
+    return _judged(texts_of(df, id_col, text_col), threshold)
+
+
+def good(df: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of a table that are kept, with its columns."""
+    rows, restore, _ = carried(df, id_col, text_col)
+    # The text is carried next to its measures, so that no join has to bring the two together again.
+    whole = F.struct("*").alias("row")
+    judged = _judged(rows.select("doc_id", "text", whole), threshold)
+    return judged.where("kept").select("row.*").select(*restore)

@@ -272,3 +272,10 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
     known = sketches.select("doc_id", "h0", "h1").join(stand.select("h0", "h1", F.col("id").alias("own")), ["h0", "h1"], "left")
     own = known.join(classes.withColumnRenamed("id", "own"), "own", "left")
     return own.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "own")).alias("class_id"))
+
+
+def one_of_each(df: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table without the rows whose id isn't the smallest of their class."""
+    classes = near_duplicates(df, similarity, target, id_col, text_col)
+    gone = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
+    return df.join(gone, id_col, "left_anti")

@@ -24,9 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import U64, blocked, expand, in_sorted, mix, span_hashes, squeeze, text_bytes, window_hashes, word_spans
+from .common import U64, blocked, carried, expand, in_sorted, mix, span_hashes, squeeze, text_bytes, texts_of, window_hashes, word_spans
 
 WINDOW = 13
 #: Text of a block; windows of a shard, about; counters in a row of a shard (a power of two).
@@ -64,7 +65,7 @@ def shard_and_cells(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, list[n
 
 
 def _sketch(table: pa.Table, size: int, shards: int) -> pa.Table:
-    block, ids, texts = _merged(table)
+    block, ids, texts = _merged(table.select(["block", "doc_id", "text"]))
     w = Words(ids, texts, size)
     shard, cells = shard_and_cells(w.hashes, shards)
     out = {k: [] for k in ("block", "shard", "line", "once", "more")}
@@ -100,7 +101,7 @@ def _merge_cells(table: pa.Table) -> pa.Table:
 
 def _suspects(texts: pa.Table, replies: pa.Table, size: int, shards: int) -> pa.Table:
     """The windows of a block that are estimated repeated, by shard: hash, second hash and smallest doc_id of each distinct one."""
-    block, ids, text = _merged(texts)
+    block, ids, text = _merged(texts.select(["block", "doc_id", "text"]))
     w = Words(ids, text, size)
     shard, cells = shard_and_cells(w.hashes, shards)
     alive = np.arange(len(w.hashes))
@@ -162,9 +163,9 @@ def joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: n
     return pa.LargeStringArray.from_buffers(n_texts, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
 
 
-def _remove(texts: pa.Table, replies: pa.Table, size: int) -> pa.Table:
+def _remove(texts: pa.Table, replies: pa.Table, size: int, as_is: bool) -> pa.Table:
     """Words of a block that stay: windows of a smaller document, in the block or (by the replies) elsewhere, go."""
-    _, ids, text = _merged(texts)
+    ids, text = _merged(texts.select(["doc_id", "text"]))
     w = Words(ids, text, size)
     n = len(w.hashes)
     elsewhere = np.sort(np.concatenate([expand(x, "u8") for x in replies.column(1).to_pylist()])) if replies.num_rows else np.zeros(0, np.uint64)
@@ -183,12 +184,15 @@ def _remove(texts: pa.Table, replies: pa.Table, size: int) -> pa.Table:
     lost = np.bincount(w.owner[removed], minlength=len(ids)) if len(ids) else total
     keep = np.flatnonzero(~removed)
     kept = joined_words(w.raw, w.starts[keep], w.ends[keep], w.owner[keep], len(ids))
-    return pa.Table.from_arrays([ids, pa.array(total), pa.array(lost.astype(np.int64)), kept], ["doc_id", "n_words", "n_removed", "text"])
+    if as_is:
+        kept = pc.if_else(pa.array(lost == 0), text.fill_null(""), kept)
+    others = [n for n in texts.column_names if n.startswith("_")]
+    cols = [ids, pa.array(total), pa.array(lost.astype(np.int64)), kept, *(texts.column(n) for n in others)]
+    return pa.Table.from_arrays(cols, ["doc_id", "n_words", "n_removed", "text", *others])
 
 
-def remove_repeats(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, text) of every row; text: the words that stay, joined by one space."""
-    docs, total, _ = blocked(df, BLOCK_BYTES, id_col, text_col)
+def _kept(rows: DataFrame, size: int, as_is: bool, more: str = "") -> DataFrame:
+    docs, total, _ = blocked(rows, BLOCK_BYTES)
     shards = max(1, -(-total // (6 * SHARD_WINDOWS)))
     sketches = docs.groupBy("block").applyInArrow(lambda t: _sketch(t, size, shards), CELLS)
     high = sketches.groupBy("shard", "line").applyInArrow(_merge_cells, "block long, shard int, line int, cells binary")
@@ -198,4 +202,15 @@ def remove_repeats(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", te
         .applyInArrow(lambda t, r: _suspects(t, r, size, shards), "block long, shard int, hashes binary, second binary, docs binary")
     )
     later = suspects.groupBy("shard").applyInArrow(_merge_windows, "block long, hashes binary")
-    return docs.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(lambda t, r: _remove(t, r, size), KEPT)
+    return docs.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(lambda t, r: _remove(t, r, size, as_is), KEPT + more)
+
+
+def remove_repeats(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, text) of every row; text: the words that stay, joined by one space."""
+    return _kept(texts_of(df, id_col, text_col), size, False)
+
+
+def cleaned(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table with its repeated windows taken out of the texts; texts that lose nothing stay as they are, texts that lose all words go."""
+    rows, restore, more = carried(df, id_col, text_col)
+    return _kept(rows, size, True, more).where("n_removed = 0 OR n_removed < n_words").select(*restore)
