@@ -9,10 +9,11 @@ meet with the target probability in at least one trie.  Nodes that are still
 crowded go down further bits.  Texts below a node are compared by Hamming
 distance, and what is near enough is verified on the exact sets of 5-grams.
 
-Exact copies are one node of the link graph from the start.  A text proposes its
-nearest ``QUOTA`` partners in a node first; while any text had more, another round offers
-the next ones between texts that the verified links haven't joined yet, so a crowd of
-copies costs about QUOTA pairs a text and no link is given up for it.
+Exact copies are one node of the link graph from the start.  A text offers its
+nearest ``QUOTA`` partners in a node first.  A pair is left out only if both texts had
+more, so further rounds with larger quotas take those texts alone, and offer pairs that the
+verified links haven't joined yet: a crowd of copies costs about QUOTA pairs a text and
+no link is given up for it.
 
 Defined results: texts of fewer than five words are near-duplicates of exact copies
 only; null text counts as empty; rows with null doc_id have null class; texts that
@@ -47,14 +48,15 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     raw, off = text_bytes(texts)
     starts, ends, first = word_spans(raw, off)
     every = window_hashes(span_hashes(raw, starts, ends), size)
-    owner = np.repeat(np.arange(len(texts)), np.diff(first))
-    inside = np.flatnonzero(owner[: len(every)] == owner[size - 1 :]) if len(every) else np.zeros(0, np.int64)
-    h, of = every[inside], owner[inside]
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
+    n = np.maximum(np.diff(first) - size + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    h = every[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[owner]]
+    end = np.cumsum(n)
+    for x, y in zip((end - n).tolist(), end.tolist(), strict=True):
+        h[x:y].sort()
     new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    return h[new], np.searchsorted(of[new], np.arange(len(texts) + 1))
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
 
 
 def simhash(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -64,8 +66,11 @@ def simhash(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
     some = np.flatnonzero(np.diff(off))
     if len(some):
         words = np.stack([mix(hashes ^ U64(0x2545F4914F6CDD1D)), mix(hashes ^ U64(0xDA942042E4DD58B5))], axis=1)
-        bits = np.unpackbits(words.view(np.uint8), axis=1)
-        ones = np.add.reduceat(bits, off[some], axis=0, dtype=np.int32)
+        lanes = np.unpackbits(words.view(np.uint8), axis=1).view(np.uint64)  # eight counters of a byte in a word
+        runs = -(-np.diff(off)[some] // 255)  # no byte overflows within 255 rows
+        at = np.cumsum(runs) - runs
+        heads = np.repeat(off[some], runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(at, runs))
+        ones = np.add.reduceat(np.add.reduceat(lanes, heads, axis=0).view(np.uint8), at, axis=0, dtype=np.int32)
         out[some] = np.ascontiguousarray(np.packbits(2 * ones > np.diff(off)[some][:, None], axis=1)).view(np.uint64)
     return out
 
@@ -140,7 +145,7 @@ def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end
     while True:
         k += 1
         at = at[at + k < end[at]]
-        if not len(at) or k > CROWD:  # beyond CROWD only where all 63 bits agree: there rows are linked in a chain
+        if not len(at) or k > CROWD:  # beyond CROWD only where all 63 bits agree: such rows are compared with the next CROWD ones
             break
         d = np.bitwise_count(s[at, 0] ^ s[at + k, 0]) + np.bitwise_count(s[at, 1] ^ s[at + k, 1])
         hit = np.flatnonzero(d <= distance)
@@ -152,7 +157,7 @@ def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end
 
 
 def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, heads: np.ndarray, distance: int, quota: int, similarity: float) -> tuple[np.ndarray, ...]:
-    """Pairs (a, b) that are offered for verification, and whether one of the two had more partners than its quota."""
+    """Pairs (a, b) that are offered for verification, and whether a and b had more partners than their quota."""
     sizes = np.diff(heads)
     end = np.repeat(heads[1:], sizes)
     work = np.cumsum(sizes.astype(np.int64) ** 2)
@@ -171,15 +176,19 @@ def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, hea
         rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
         taken = np.zeros(len(i), dtype=bool)
         taken[pair[order[rank < quota]]] = True
-        x, y = ids[i[taken]], ids[j[taken]]
-        out.append((np.minimum(x, y), np.maximum(x, y), np.full(len(x), not taken.all())))
+        over = np.zeros(len(ids), dtype=bool)
+        over[owner[order[rank >= quota]]] = True
+        i, j = i[taken], j[taken]
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        out.append((ids[i], ids[j], over[i], over[j]))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def candidates(texts: DataFrame, forest: Forest, quota: int, similarity: float) -> DataFrame:
-    """Distinct offers (a, b, more) over all tries for (id, s0, s1, n, class_id)."""
+    """Distinct offers (a, b, more_a, more_b) over all tries for (id, s0, s1, n, class_id)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +210,7 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, similarity: float)
                 heads = heads[:-1]
             done = offers(ids, np.stack([s0, s1], axis=1).view(np.uint64), n, group, heads, forest.distance, quota, similarity)
             held = [x[heads[-1] :] for x in held]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["a", "b", "more"]) if len(done[0]) else None
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["a", "b", "more_a", "more_b"]) if len(done[0]) else None
 
         for b in batches:
             fresh = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -214,7 +223,7 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, similarity: float)
     top = max(0, min(forest.depth, 8))
     rows = texts.select("id", "s0", "s1", "n", "class_id").mapInArrow(spread, "trie int, label long, id long, s0 long, s1 long, n int, class_id long")
     parted = rows.repartition("trie", F.shiftright("label", 63 - top)).sortWithinPartitions("trie", "label", "id")
-    return parted.mapInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return parted.mapInArrow(compare, "a long, b long, more_a boolean, more_b boolean").groupBy("a", "b").agg(F.max("more_a").alias("more_a"), F.max("more_b").alias("more_b"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -252,23 +261,20 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
     stand = written(sketches.where("doc_id IS NOT NULL").groupBy("h0", "h1", "s0", "s1", "n").agg(F.min("doc_id").alias("id")), "texts")
     texts = stand.where("n > 0")
     forest = plan(texts.count(), similarity, target)
-    tested = links = classes = None
-    quota = QUOTA
+    left, quota = texts.withColumn("class_id", F.col("id")), QUOTA
+    tested = links = None
     while True:
-        if classes is None:
-            marked = texts.withColumn("class_id", F.col("id"))
-        else:
-            marked = texts.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-        offered = written(candidates(marked, forest, quota, similarity), "offers")
-        more = offered.where("more").limit(1).count() > 0
-        fresh = offered if tested is None else offered.join(tested, ["a", "b"], "left_anti")
+        offered = written(candidates(left, forest, quota, similarity), "offers")
+        fresh = offered.select("a", "b") if tested is None else offered.select("a", "b").join(tested, ["a", "b"], "left_anti")
         found = written(verified(fresh, docs, similarity), "verified")
         links = found if links is None else links.unionByName(found)
-        tested = offered.select("a", "b") if tested is None else tested.unionByName(fresh.select("a", "b"))
-        before, classes = classes, components(links)
-        if not more or (before is not None and not found.limit(1).count() and quota > 1 << 16):
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        classes = components(links)
+        crowded = written(offered.where("more_a").select(F.col("a").alias("id")).union(offered.where("more_b").select("b")).distinct(), "crowded")
+        if not crowded.limit(1).count():
             break
         quota *= 8
+        left = written(texts.join(crowded, "id", "left_semi").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")), "left")
     known = sketches.select("doc_id", "h0", "h1").join(stand.select("h0", "h1", F.col("id").alias("own")), ["h0", "h1"], "left")
     own = known.join(classes.withColumnRenamed("id", "own"), "own", "left")
     return own.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "own")).alias("class_id"))
