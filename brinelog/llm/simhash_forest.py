@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import comb, log2, pi
+from math import comb, exp, lgamma, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ from .common import U64, expand, in_sorted, mix, slices, span_hashes, squeeze, t
 from .components import components
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 128
+#: Bits of the longer signature that offers are sifted by before their sets are fetched.
+LONG = 1024
 #: Texts below a node, about; most below one after going down; most in a task; most ids that are broadcast; first offers of a text in a node.
 LEAF, CROWD, TASK, BROADCAST_IDS, QUOTA = 128, 1024, 100_000, 200_000, 16
 TARGET = 0.995
@@ -59,13 +61,14 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     return h[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
 
 
-def simhash(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(n, 2) uint64 signatures: bit by bit what most hashes of a set have."""
+def simhash(hashes: np.ndarray, off: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """(n, bits / 64) uint64 signatures: bit by bit what most hashes of a set have."""
     n = len(off) - 1
-    out = np.zeros((n, 2), dtype=np.uint64)
+    out = np.zeros((n, bits // 64), dtype=np.uint64)
     some = np.flatnonzero(np.diff(off))
     if len(some):
-        words = np.stack([mix(hashes ^ U64(0x2545F4914F6CDD1D)), mix(hashes ^ U64(0xDA942042E4DD58B5))], axis=1)
+        seeds = mix(np.arange(0x2545F491, 0x2545F491 + bits // 64, dtype=np.uint64))
+        words = np.stack([mix(hashes ^ x) for x in seeds], axis=1)
         lanes = np.unpackbits(words.view(np.uint8), axis=1).view(np.uint64)  # eight counters of a byte in a word
         runs = -(-np.diff(off)[some] // 255)  # no byte overflows within 255 rows
         at = np.cumsum(runs) - runs
@@ -96,15 +99,20 @@ class Forest:
     distance: int
 
 
+def distances(similarity: float, bits: int) -> np.ndarray:
+    """Chances of each Hamming distance between signatures of sets at ``similarity``."""
+    differ = float(np.arccos(2 * similarity / (1 + similarity))) / pi
+    return np.array([exp(lgamma(bits + 1) - lgamma(h + 1) - lgamma(bits - h + 1) + h * log(differ) + (bits - h) * log(1 - differ)) for h in range(bits + 1)])
+
+
 def plan(n: int, similarity: float = SIMILARITY, target: float = TARGET, leaf: int = LEAF) -> Forest:
     """Depth by density, and tries until pairs at ``similarity`` meet with probability ``target``.
 
     Sets with Jaccard similarity s have a cosine of 2s / (1 + s) at equal sizes (more
     otherwise), so a bit differs with probability acos(cosine) / pi.
     """
-    differ = float(np.arccos(2 * similarity / (1 + similarity))) / pi
-    chance = [comb(BITS, h) * differ**h * (1 - differ) ** (BITS - h) for h in range(BITS + 1)]
-    distance = next(h for h in range(BITS + 1) if sum(chance[: h + 1]) >= 1 - (1 - target) / 10)
+    chance = distances(similarity, BITS)
+    distance = int(np.searchsorted(np.cumsum(chance), 1 - (1 - target) / 10))
     depth = max(0, min(48, int(log2(max(n, 1) / leaf)))) if n > leaf else 0
     share = [comb(BITS - h, depth) / comb(BITS, depth) for h in range(distance + 1)]
     tries = 1
@@ -227,15 +235,28 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, similarity: float)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of word 5-grams are similar enough, by exact intersection."""
+    """The pairs (a, b) whose sets of word 5-grams are similar enough, by exact intersection.
+
+    A longer signature sifts the pairs first, so that few have to fetch their sets.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=1 << 20):
+        for b in slices(batches, most=1 << 18):
             h, off = shingle_sets(b.column(1))
             blobs = [squeeze(h[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["id", "grams"])
+            longer = [x.tobytes() for x in simhash(h, off, LONG)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), pa.array(longer, pa.binary())], ["id", "grams", "sign"])
+
+    most = int(np.searchsorted(np.cumsum(distances(similarity, LONG)), 1 - (1 - TARGET) / 50))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, LONG // 64) for c in b.columns[2:])
+                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most
+                yield b.select(["a", "b"]).filter(pa.array(near))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,9 +269,14 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
             if keep:
                 yield b.select(["a", "b"]).take(pa.array(keep))
 
-    grams = written(docs.join(ids, "doc_id").mapInArrow(sets, "id long, grams binary").distinct(), "grams")
-    joined = pairs.select("a", "b").join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct()
+    grams = written(docs.join(ids, "doc_id").mapInArrow(sets, "id long, grams binary, sign binary"), "grams")
+
+    def beside(pairs: DataFrame, column: str) -> DataFrame:
+        x, y = (grams.select(F.col("id").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+    near = beside(pairs.select("a", "b"), "sign").mapInArrow(close, "a long, b long").distinct()
+    return beside(near, "grams").mapInArrow(similar, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
