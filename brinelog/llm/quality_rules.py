@@ -33,6 +33,7 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 STEPS = 40
+RULES = ("length", "symbols", "symbol_share", "symbol_kinds", "dup_lines", "repeats", "word_size", "line_words", "stops", "digits")
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stops", "n_digits", "n_symbol_kinds"]
 
 
@@ -101,9 +102,6 @@ def rules() -> dict[str, Column]:
     }
 
 
-RULES = list(rules())
-
-
 def fit(votes: DataFrame, steps: int = STEPS) -> dict[str, list[float]]:
     """EM on a table with ``votes`` array<int>: the share of good documents, and each rule's rate of bad votes on good and on bad ones."""
     m = len(RULES)

@@ -74,14 +74,14 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of a[i] and b[i], added up in order of the components."""
     dot, na, nb = (np.zeros(len(a)) for _ in range(3))
-    for d in range(a.shape[1]):
-        x, y = a[:, d], b[:, d]
-        dot += x * y
-        na += x * x
-        nb += y * y
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        for d in range(a.shape[1]):
+            x, y = a[:, d], b[:, d]
+            dot += x * y
+            na += x * x
+            nb += y * y
         score = dot / np.sqrt(na * nb)
-    odd = ~np.isfinite(score) | (na * nb < 1e-290)
+        odd = ~np.isfinite(score) | (na * nb < 1e-290)
     if odd.any():  # squares that leave the range of doubles
         p, q = a[odd] / np.abs(a[odd]).max(axis=1, keepdims=True), b[odd] / np.abs(b[odd]).max(axis=1, keepdims=True)
         score[odd] = (p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from helpers import awkward, frame, words_of
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brinelog.llm import chat_format, language_id, quality_rules, vector_search
@@ -82,7 +83,7 @@ def test_language(spark, sf_dir):
     d = sf_dir.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
     model = language_id.fit(docs)
-    got = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(language_id.held_out(docs["doc_id"])).collect()
+    got = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(language_id.held_out(F.col("doc_id"))).collect()
     assert len(got) > 250 and np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97 and np.mean([r["accepted"] for r in got]) > 0.97
     odd = language_id.identify(frame(spark), model).collect()
     want = {i: not any(c.isalpha() for c in t or "") for i, t in ROWS if i is not None}
