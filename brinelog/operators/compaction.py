@@ -50,7 +50,7 @@ def manual_choice(manifest: DataFrame, asked: DataFrame) -> DataFrame:
 
 def merged(runs: DataFrame, ids: Sequence[int]) -> DataFrame:
     """Newest version per key over some runs, delete markers included."""
-    return newest_wins(runs.where(F.col("run_id").isin(list(ids))).select("key", "value", "seqno", "tombstone"))
+    return newest_wins(runs.where(F.col("run_id").isin(list(ids))).select("key", "value", "seqno", "tombstone", "run_id"))
 
 
 def droppable(seqno: Column, tombstone: Column, created: Column, now: int, grace: int, outside_min: Column) -> Column:
@@ -62,9 +62,9 @@ def tombstone_gc(runs: DataFrame, manifest: DataFrame, ids: Sequence[int], now:
     """The merged rows of the chosen runs with source_run and whether they are dropped."""
     inside = F.col("id").isin(list(ids))
     outside = manifest.where(~inside).agg(F.coalesce(F.min("min_seqno"), F.lit(NO_SEQNO)).alias("outside_min"))
-    sources = F.broadcast(manifest.where(inside).select(F.col("id").alias("source_run"), "min_seqno", "max_seqno", "created_at"))
-    rows = merged(runs, ids)
-    found = rows.join(sources, F.col("seqno").between(F.col("min_seqno"), F.col("max_seqno")), "left").join(F.broadcast(outside), F.lit(True))
+    sources = manifest.where(inside).select(F.col("id").alias("source_run"), "created_at")
+    rows = merged(runs, ids).withColumnRenamed("run_id", "source_run")
+    found = rows.join(F.broadcast(sources), "source_run", "left").join(F.broadcast(outside), F.lit(True))  # a row per input, one row
     drop = droppable(F.col("seqno"), F.col("tombstone"), F.coalesce(F.col("created_at"), F.lit(now)), now, grace, F.col("outside_min"))
     return found.select("key", "value", "seqno", "tombstone", "source_run", drop.alias("dropped"))
 

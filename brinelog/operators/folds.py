@@ -121,3 +121,12 @@ def restart_points(runs: DataFrame, interval: int = 16) -> DataFrame:
     order = Window.partitionBy("run_id").orderBy("key")
     placed = runs.select("run_id", "key", (F.row_number().over(order) - 1).alias("place"))
     return placed.where(F.pmod("place", F.lit(interval)) == 0)
+
+
+def seek(points: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(run_id, wanted, seek_key): the last restart point at or before each wanted key in each run, by one ordered pass per run."""
+    asked = points.select("run_id").distinct().join(F.broadcast(wanted.agg(F.collect_set("key").alias("keys"))), F.lit(True)).select("run_id", F.explode("keys").alias("key"))
+    both = points.select("run_id", "key", F.lit(0).alias("kind")).unionByName(asked.withColumn("kind", F.lit(1)))
+    order = Window.partitionBy("run_id").orderBy("key", "kind")
+    found = both.withColumn("seek_key", F.last(F.when(F.col("kind") == 0, F.col("key")), ignorenulls=True).over(order))
+    return found.where("kind = 1 AND seek_key IS NOT NULL").select("run_id", F.col("key").alias("wanted"), "seek_key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,18 +56,33 @@ def run_manifest(runs: DataFrame, entry_size: object) -> DataFrame:
     )
 
 
+def ranges_row(manifest: DataFrame) -> DataFrame:
+    """One row with the whole manifest as an array, to be set beside other rows: a row per run, thousands at most."""
+    one = F.struct("id", "min_key", "max_key", "min_seqno", "max_seqno")
+    return F.broadcast(manifest.agg(F.sort_array(F.collect_list(one)).alias("ranges")))
+
+
+def _outside(r: Column) -> Column:
+    return (F.col("key") < r["min_key"]) | (F.col("key") > r["max_key"])
+
+
 def covering(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted key: how many runs may hold it by key range, and how many are skipped."""
-    ranges = F.broadcast(manifest.select("min_key", "max_key"))  # a manifest has a row per run, thousands at most
-    inside = F.col("key").between(F.col("min_key"), F.col("max_key"))
-    both = wanted.select("key").join(ranges, F.lit(True))
-    return both.groupBy("key").agg(F.count_if(inside).alias("candidates"), F.count_if(~inside).alias("skipped"))
+    """For each wanted key: how many runs may hold it by key range, and how many are skipped.  No row per key and run is made."""
+    skipped = F.size(F.filter("ranges", _outside)).cast("long")
+    both = wanted.select("key").join(ranges_row(manifest), F.lit(True))
+    return both.select("key", (F.size("ranges") - skipped).alias("candidates"), skipped.alias("skipped"))
 
 
 def get_trace(runs: DataFrame, manifest: DataFrame) -> DataFrame:
     """How a newest-first probe would find each key: the run it stops at, runs consulted, runs skipped by range on the way."""
     where = runs.groupBy("key").agg(F.max("run_id").alias("source_run"))
-    ranges = F.broadcast(manifest.select("id", "min_key", "max_key"))
-    steps = where.join(ranges, F.col("id") >= F.col("source_run"))
-    outside = ~F.col("key").between(F.col("min_key"), F.col("max_key"))
-    return steps.groupBy("key", "source_run").agg(F.count("*").alias("consulted"), F.count_if(outside).alias("range_skipped"))
+    both = where.join(ranges_row(manifest), F.lit(True))
+    newer = F.filter("ranges", lambda r: r["id"] >= F.col("source_run"))
+    return both.select("key", "source_run", F.size(newer).cast("long").alias("consulted"), F.size(F.filter(newer, _outside)).cast("long").alias("range_skipped"))
+
+
+def source_runs(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The run whose range of sequence numbers holds each row's: ranges are disjoint, so there is one at most."""
+    inside = F.filter("ranges", lambda r: (r["min_seqno"] <= F.col("seqno")) & (F.col("seqno") <= r["max_seqno"]))
+    both = rows.join(ranges_row(manifest), F.lit(True))
+    return both.select("key", "seqno", F.get(inside, F.lit(0))["id"].alias("source_run")).where("source_run IS NOT NULL")

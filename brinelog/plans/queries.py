@@ -182,10 +182,7 @@ def sst_restart_points(spark: SparkSession, d: str) -> DataFrame:
 @query
 def sparse_index_seek(spark: SparkSession, d: str) -> DataFrame:
     """For each wanted key: the last restart point at or before it in each run that may hold it."""
-    points = folds.restart_points(runs_of(spark, d))
-    # 300 / 7 wanted keys are the small side
-    both = points.join(F.broadcast(wanted_keys(spark).withColumnRenamed("key", "wanted")), F.col("key") <= F.col("wanted"))
-    return both.groupBy("run_id", "wanted").agg(F.max("key").alias("seek_key"))
+    return folds.seek(folds.restart_points(runs_of(spark, d)), wanted_keys(spark))
 
 
 @query
@@ -255,7 +252,7 @@ def manifest_after_compaction(spark: SparkSession, d: str) -> DataFrame:
     runs = runs_of(spark, d)
     manifest = manifest_of(runs)
     ids = chosen_ids(manifest)
-    output = merge.run_manifest(compaction.merged(runs, ids).withColumn("run_id", F.lit(11).cast("long")), entry_bytes())
+    output = merge.run_manifest(compaction.merged(runs, ids).drop("run_id").withColumn("run_id", F.lit(11).cast("long")), entry_bytes())
     cols = ["id", "entries", "file_size", "min_seqno", "max_seqno"]
     return compaction.manifest_after(manifest.select(*cols), ids, output.select(*cols))
 
@@ -265,7 +262,7 @@ def version_diff(spark: SparkSession, d: str) -> DataFrame:
     runs = runs_of(spark, d)
     manifest = manifest_of(runs)
     ids = chosen_ids(manifest)
-    output = merge.run_manifest(compaction.merged(runs, ids).withColumn("run_id", F.lit(11).cast("long")), entry_bytes())
+    output = merge.run_manifest(compaction.merged(runs, ids).drop("run_id").withColumn("run_id", F.lit(11).cast("long")), entry_bytes())
     return compaction.version_diff(manifest.select("id"), compaction.manifest_after(manifest.select("id"), ids, output.select("id")))
 
 
@@ -337,9 +334,7 @@ def run_ranges_disjoint(spark: SparkSession, d: str) -> DataFrame:
 def seqno_source_run(spark: SparkSession, d: str) -> DataFrame:
     """Which run each newest version lies in, by seqno range."""
     runs = runs_of(spark, d)
-    ranges = F.broadcast(manifest_of(runs).select("id", "min_seqno", "max_seqno"))
-    rows = merge.newest_wins(runs.drop("run_id"))
-    return rows.join(ranges, F.col("seqno").between(F.col("min_seqno"), F.col("max_seqno"))).select("key", "seqno", F.col("id").alias("source_run"))
+    return merge.source_runs(merge.newest_wins(runs.drop("run_id")), manifest_of(runs))
 
 
 @query
