@@ -54,6 +54,25 @@ class Words:
         self.window_doc = self.doc_ids[self.owner[self.at]]
 
 
+def by_hash(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal hashes are neighbours, and where each group of them begins."""
+    order = np.argsort(h)
+    hs, seconds = h[order], h2[order]
+    same = hs[1:] == hs[:-1]
+    if (same & (seconds[1:] != seconds[:-1])).any():  # two windows with one 64-bit hash: the second one parts them
+        order = np.lexsort((h2, h))
+        hs, seconds = h[order], h2[order]
+        same = (hs[1:] == hs[:-1]) & (seconds[1:] == seconds[:-1])
+    return order, np.append(len(h[:1]) > 0, ~same)[: len(h)]
+
+
+def group_least(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The least value of each group of neighbours, once for every member."""
+    if not len(values):
+        return values
+    return np.minimum.reduceat(values, np.flatnonzero(first))[np.cumsum(first) - 1]
+
+
 def _merged(*tables: pa.Table) -> list[pa.Array]:
     return [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for t in tables for c in t.columns]
 
@@ -113,11 +132,10 @@ def _suspects(texts: pa.Table, replies: pa.Table, size: int, shards: int) -> pa.
             alive = alive[in_sorted((shard[alive] << U64(32)) | cells[row][alive], high)]
     else:
         alive = alive[:0]
-    order = alive[np.lexsort((w.window_doc[alive], w.second[alive], w.hashes[alive]))]
-    h, h2, doc = w.hashes[order], w.second[order], w.window_doc[order]
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-    h, h2, doc = h[first], h2[first], doc[first]
+    order, first = by_hash(w.hashes[alive], w.second[alive])
+    order = alive[order]
+    doc = group_least(w.window_doc[order], first)[first]
+    h, h2 = w.hashes[order][first], w.second[order][first]
     of = shard_and_cells(h, shards)[0].astype(np.int64)
     rows = []
     for s in range(shards):
@@ -134,11 +152,8 @@ def _merge_windows(table: pa.Table) -> pa.Table:
     h, h2 = np.concatenate(parts[0]), np.concatenate(parts[1])
     doc = np.concatenate(parts[2]).view(np.int64)
     source = np.repeat(np.arange(len(blocks)), [len(x) for x in parts[0]])
-    order = np.lexsort((doc, h2, h))
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    least = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-    later = order[doc[order] > least]
+    order, first = by_hash(h, h2)
+    later = order[doc[order] > group_least(doc[order], first)]
     later = later[np.lexsort((h[later], source[later]))]
     cut = np.searchsorted(source[later], np.arange(len(blocks) + 1))
     found = [squeeze(h[later[cut[k] : cut[k + 1]]]) for k in range(len(blocks))]
@@ -169,16 +184,14 @@ def _remove(texts: pa.Table, replies: pa.Table, size: int, as_is: bool) -> pa.Ta
     w = Words(ids, text, size)
     n = len(w.hashes)
     elsewhere = np.sort(np.concatenate([expand(x, "u8") for x in replies.column(1).to_pylist()])) if replies.num_rows else np.zeros(0, np.uint64)
-    order = np.lexsort((w.window_doc, w.second, w.hashes))
-    h, h2, doc = w.hashes[order], w.second[order], w.window_doc[order]
-    first = np.ones(n, dtype=bool)
-    first[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-    later = doc > doc[np.flatnonzero(first)][np.cumsum(first) - 1] if n else np.zeros(0, bool)
+    order, first = by_hash(w.hashes, w.second)
+    doc = w.window_doc[order]
     gone = np.zeros(n, dtype=bool)
-    gone[order] = later | in_sorted(h, elsewhere)
+    gone[order] = (doc > group_least(doc, first)) | in_sorted(w.hashes[order], elsewhere)
     cover = np.zeros(len(w.starts) + 1, dtype=np.int64)
-    np.add.at(cover, w.at[gone], 1)
-    np.add.at(cover, w.at[gone] + size, -1)
+    at = w.at[gone]  # starts are distinct
+    cover[at] += 1
+    cover[at + size] -= 1
     removed = np.cumsum(cover)[:-1] > 0
     total = np.diff(w.first)
     lost = np.bincount(w.owner[removed], minlength=len(ids)) if len(ids) else total
