@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -387,6 +388,7 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
         F.when(gone, "").otherwise(F.concat("event_type", F.lit(":"), F.col("event_id").cast("string"))).alias("value"),
         gone.alias("tombstone"),
     )
-    running = latest_stream(log, name, tempfile.mkdtemp(prefix="brinelog-stream-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)  # a local folder only where no shared one is named, as in tests
+    running = latest_stream(log, name, f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="brinelog-stream-"))
     running.awaitTermination()
     return spark.table(name).select("key", "value", "seqno", "tombstone")
