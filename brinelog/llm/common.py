@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,8 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACE_BYTES)] = True
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 #: Odd multiplier of the polynomial over bytes, and its inverse modulo 2**64.
@@ -39,18 +44,58 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/brinelog-{spark.sparkContext.applicationId}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_written(spark: SparkSession) -> None:
-    """Delete what ``written`` has left for this application; tables that still read from it can't be used any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete everything this application has left in the shared folder."""
+    delete(spark, own_dir(spark))
+
+
+class Scratch:
+    """Tables written in the shared folder: lineage ends there, on storage that outlives executors."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it back."""
+        path = f"{own_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        # Once the table is written nothing reads its shuffles again: they needn't wait for the driver's garbage collection.
+        before = self.spark.conf.get(CLEAN_SHUFFLES, "false")
+        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_SHUFFLES, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables; nothing may read from them any more."""
+        while self.paths:
+            delete(self.spark, self.paths.pop())
+
+
+_OWNER: ContextVar[Scratch | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned(scratch: Scratch) -> Iterator[None]:
+    """Within it, tables that results go on reading from belong to ``scratch``; else they stay until ``drop_written``."""
+    token = _OWNER.set(scratch)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, on storage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A written table that an operator's result still reads from."""
+    return (_OWNER.get() or Scratch(df.sparkSession)).written(df, name)
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,6 +136,14 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which glibc otherwise keeps for the process."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""
     x = x + GOLDEN
@@ -115,11 +168,19 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span raw[start:end]; equal spans get equal hashes."""
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of each byte span raw[start:end], in order of place; equal spans get equal hashes."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    k = 0
+    while k < len(starts):  # about ``most`` bytes at a time: the sums take eight times as much
+        z = max(k + 1, int(np.searchsorted(ends, starts[k] + most, side="right")))
+        out[k:z] = _span_hashes(raw[starts[k] : ends[z - 1]], starts[k:z] - starts[k], ends[k:z] - starts[k])
+        k = z
+    return out
+
+
+def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(raw)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + U64(1)) * powers(BYTE_BASE, n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * powers(BYTE_BASE_INV, n + 1)[starts]

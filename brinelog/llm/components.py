@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -25,14 +25,20 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return fresh.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, class_id): the smallest id that links (a, b) connect each node with; nodes without links are left out."""
-    links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    now, before = Scratch(links.sparkSession), Scratch(links.sparkSession)
+    links = now.written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     state = None
     while True:
         sums = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(sums) == state:
             break
         state = tuple(sums)
-        links = written(_stars(_stars(links, True), False), "links")
+        now, before = before, now
+        links = now.written(_stars(_stars(links, True), False), "links")
+        before.drop()
+    # The last table stays behind the result.
+    links = (scratch.written if scratch else written)(links, "components")
+    now.drop()
     return links.select(F.col("b").alias("id"), F.col("a").alias("class_id")).unionByName(links.select(F.col("a").alias("id"), F.col("a").alias("class_id")).distinct())

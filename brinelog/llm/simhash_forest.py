@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, expand, in_sorted, mix, slices, span_hashes, squeeze, text_bytes, texts_of, window_hashes, word_spans, written
+from .common import U64, Scratch, expand, in_sorted, mix, slices, span_hashes, squeeze, text_bytes, texts_of, window_hashes, word_spans
+from .common import written as lasting
 from .components import components
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 128
@@ -41,6 +42,8 @@ SHINGLE, SIMILARITY, BITS = 5, 0.8, 128
 LONG = 1024
 #: Texts below a node, about; most below one after going down; most in a task; most ids that are broadcast; first offers of a text in a node.
 LEAF, CROWD, TASK, BROADCAST_IDS, QUOTA = 128, 1024, 100_000, 200_000, 16
+#: Texts of a component of candidate pairs whose sets are compared in one task.
+TOGETHER = 2000
 TARGET = 0.995
 SKETCH = "doc_id long, h0 long, h1 long, s0 long, s1 long, n int"
 
@@ -234,21 +237,30 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, similarity: float)
     return parted.mapInArrow(compare, "a long, b long, more_a boolean, more_b boolean").groupBy("a", "b").agg(F.max("more_a").alias("more_a"), F.max("more_b").alias("more_b"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def sets_and_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, grams, sign) of (doc_id, text): the set of word 5-grams and a longer signature."""
+    for b in slices(batches, most=1 << 18):
+        h, off = shingle_sets(b.column(1))
+        blobs = [squeeze(h[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)]
+        longer = [x.tobytes() for x in simhash(h, off, LONG)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), pa.array(longer, pa.binary())], ["id", "grams", "sign"])
+
+
+def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    both = int(in_sorted(p, q).sum())
+    return both > 0 and both >= similarity * (len(p) + len(q) - both) - 1e-9
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets of word 5-grams are similar enough, by exact intersection.
 
-    A longer signature sifts the pairs first, so that few have to fetch their sets.
+    A longer signature sifts the pairs first.  What is left falls into components; the sets
+    of one of up to ``TOGETHER`` texts are sent to one task once, and all its pairs are
+    verified there.  Pairs of larger components fetch their sets pair by pair.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=1 << 18):
-            h, off = shingle_sets(b.column(1))
-            blobs = [squeeze(h[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)]
-            longer = [x.tobytes() for x in simhash(h, off, LONG)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), pa.array(longer, pa.binary())], ["id", "grams", "sign"])
-
+    grams = scratch.written(docs.join(ids, "doc_id").mapInArrow(sets_and_signs, "id long, grams binary, sign binary"), "grams")
     most = int(np.searchsorted(np.cumsum(distances(similarity, LONG)), 1 - (1 - TARGET) / 50))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,28 +272,40 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                p, q = expand(x.as_py(), "u8"), expand(y.as_py(), "u8")
-                both = int(in_sorted(p, q).sum())
-                if both and both >= similarity * (len(p) + len(q) - both) - 1e-9:
-                    keep.append(k)
-            if keep:
-                yield b.select(["a", "b"]).take(pa.array(keep))
+            keep = [k for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)) if alike(expand(x.as_py(), "u8"), expand(y.as_py(), "u8"), similarity)]
+            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    grams = written(docs.join(ids, "doc_id").mapInArrow(sets, "id long, grams binary, sign binary"), "grams")
+    def together(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held: dict[int, list[np.ndarray]] = {}
+        for i, blob in zip(sets.column("id").to_pylist(), sets.column("grams"), strict=True):
+            held.setdefault(i, []).append(expand(blob.as_py(), "u8"))
+        a, b = (pairs.column(c).to_pylist() for c in ("a", "b"))
+        keep = [k for k in range(len(a)) if any(alike(p, q, similarity) for p in held.get(a[k], ()) for q in held.get(b[k], ()))]
+        return pairs.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     def beside(pairs: DataFrame, column: str) -> DataFrame:
         x, y = (grams.select(F.col("id").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
-    near = beside(pairs.select("a", "b"), "sign").mapInArrow(close, "a long, b long").distinct()
-    return beside(near, "grams").mapInArrow(similar, "a long, b long").distinct()
+    near = scratch.written(beside(pairs.select("a", "b"), "sign").mapInArrow(close, "a long, b long").distinct(), "near")
+    groups = components(near, scratch)
+    sizes = groups.groupBy("class_id").agg(F.count("*").alias("size"))
+    small = groups.join(sizes.where(F.col("size") <= TOGETHER).select("class_id"), "class_id")
+    small = scratch.written(small, "small")
+    placed = scratch.written(near.join(small.withColumnRenamed("id", "a"), "a", "left"), "placed")
+    sets = grams.select("id", "grams").join(small, "id")
+    found = placed.where("class_id IS NOT NULL").groupBy("class_id").cogroup(sets.groupBy("class_id")).applyInArrow(together, "a long, b long")
+    rest = placed.where("class_id IS NULL").select("a", "b")
+    if rest.limit(1).count():
+        found = found.unionByName(beside(rest, "grams").mapInArrow(similar, "a long, b long").distinct())
+    return found
 
 
 def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id) of every row: rows of one class are linked by exact or near copies."""
     docs = texts_of(df, id_col, text_col)
+    scratch = Scratch(df.sparkSession)
+    written = scratch.written
     sketches = written(docs.mapInArrow(_sketch, SKETCH), "sketches")
     # Copies of one text meet here: the smallest id stands for them (partial minima come first, so many copies don't gather).
     stand = written(sketches.where("doc_id IS NOT NULL").groupBy("h0", "h1", "s0", "s1", "n").agg(F.min("doc_id").alias("id")), "texts")
@@ -292,10 +316,10 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
     while True:
         offered = written(candidates(left, forest, quota, similarity), "offers")
         fresh = offered.select("a", "b") if tested is None else offered.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        found = written(verified(fresh, docs, similarity), "verified")
+        found = written(verified(fresh, docs, similarity, scratch), "verified")
         links = found if links is None else links.unionByName(found)
         tested = fresh if tested is None else tested.unionByName(fresh)
-        classes = components(links)
+        classes = components(links, scratch)
         crowded = written(offered.where("more_a").select(F.col("a").alias("id")).union(offered.where("more_b").select("b")).distinct(), "crowded")
         if not crowded.limit(1).count():
             break
@@ -303,11 +327,13 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
         left = written(texts.join(crowded, "id", "left_semi").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")), "left")
     known = sketches.select("doc_id", "h0", "h1").join(stand.select("h0", "h1", F.col("id").alias("own")), ["h0", "h1"], "left")
     own = known.join(classes.withColumnRenamed("id", "own"), "own", "left")
-    return own.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "own")).alias("class_id"))
+    result = lasting(own.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "own")).alias("class_id")), "classes")
+    scratch.drop()
+    return result
 
 
 def one_of_each(df: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table without the rows whose id isn't the smallest of their class."""
     classes = near_duplicates(df, similarity, target, id_col, text_col)
-    gone = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
+    gone = lasting(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
     return df.join(gone, id_col, "left_anti")

@@ -2,20 +2,41 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a table; all but the last have
 the columns of ``documents``.  Between stages the table is written as Parquet
-and read again.  The verdict of the quality rules and the language model are fitted to the
+and read again; a stage begins by deleting what the stage before it has left in the
+shared folder.  The verdict of the quality rules and the language model are fitted to the
 documents that reach the stage, so SQL can't express the whole: ORACLE_SQL is None.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinelog.llm import language_id, packing, quality_rules, simhash_forest, substring_dedup
-from brinelog.llm.common import written
+from brinelog.llm.common import Scratch, owned
 from brinelog.llm.registry import table, tokenizer_path
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL: str | None = None
+_LEFT: dict[str, Scratch] = {}
+
+
+def _stage(f: Stage) -> Stage:
+    """Delete what the stage before left behind its result, which is written by now."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        _LEFT.setdefault(app, Scratch(spark)).drop()
+        if f is packed:
+            return f(spark, docs, sf_dir)
+        with owned(_LEFT[app]):
+            return f(spark, docs, sf_dir)
+
+    return run
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +64,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality), ("language ID", language), ("near-dedup", near_dedup), ("substring dedup", substring), ("packing", packed)]
+STAGES = [(name, _stage(f)) for name, f in (("quality rules", quality), ("language ID", language), ("near-dedup", near_dedup), ("substring dedup", substring), ("packing", packed))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    kept = [Scratch(spark), Scratch(spark)]
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = kept[0].written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept.reverse()
+        kept[0].drop()
     return STAGES[-1][1](spark, docs, sf_dir)
