@@ -87,20 +87,21 @@ def _sketch(table: pa.Table, size: int, shards: int) -> pa.Table:
     block, ids, texts = _merged(table.select(["block", "doc_id", "text"]))
     w = Words(ids, texts, size)
     shard, cells = shard_and_cells(w.hashes, shards)
-    out = {k: [] for k in ("block", "shard", "line", "once", "more")}
+    out = []
     for line in (0, 1):
         keys = np.sort((shard << U64(32)) | cells[line])
         first = np.ones(len(keys), dtype=bool)
         first[1:] = keys[1:] != keys[:-1]
         once, more = keys[first], np.unique(keys[~first])
-        for kind, values in (("once", once), ("more", more)):
-            cut = np.searchsorted(values, np.arange(shards + 1, dtype=np.uint64) << U64(32))
-            out[kind] += [squeeze((values[cut[s] : cut[s + 1]]).astype(np.uint32)) for s in range(shards)]
-        out["shard"] += range(shards)
-        out["line"] += [line] * shards
-    out["block"] = [block[0].as_py()] * len(out["shard"])
+        bounds = np.arange(shards + 1, dtype=np.uint64) << U64(32)
+        cut, cut_more = np.searchsorted(once, bounds), np.searchsorted(more, bounds)
+        # only shards that the block has windows in: their number is bounded by the windows
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            blobs = [squeeze(x[c[s] : c[s + 1]].astype(np.uint32)) for x, c in ((once, cut), (more, cut_more))]
+            out.append((block[0].as_py(), s, line, *blobs))
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], ["block", "shard", "line", "once", "more"])
 
 
 def _merge_cells(table: pa.Table) -> pa.Table:
