@@ -149,14 +149,14 @@ def nodes(label: np.ndarray, depth: int, crowd: int = CROWD) -> np.ndarray:
         deep[crowded] += U64(1)
 
 
-def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end: np.ndarray, distance: int, similarity: float) -> tuple[np.ndarray, ...]:
-    """Pairs among rows lo..hi whose nodes end at ``end``, from different classes and near enough: i, j, distance."""
+def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end: np.ndarray, distance: int, similarity: float, ahead: int) -> tuple[np.ndarray, ...]:
+    """Pairs among rows lo..hi whose nodes end at ``end``, at most ``ahead`` rows apart, from different classes and near enough: i, j, distance."""
     found = []
     at, k = np.arange(lo, hi), 0
     while True:
         k += 1
         at = at[at + k < end[at]]
-        if not len(at) or k > CROWD:  # beyond CROWD only where all 63 bits agree: such rows are compared with the next CROWD ones
+        if not len(at) or k > ahead:
             break
         d = np.bitwise_count(s[at, 0] ^ s[at + k, 0]) + np.bitwise_count(s[at, 1] ^ s[at + k, 1])
         hit = np.flatnonzero(d <= distance)
@@ -168,15 +168,26 @@ def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end
 
 
 def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, heads: np.ndarray, distance: int, quota: int, similarity: float) -> tuple[np.ndarray, ...]:
-    """Pairs (a, b) that are offered for verification, and whether a and b had more partners than their quota."""
+    """Pairs (a, b) that are offered for verification, and whether a and b may have more partners than that.
+
+    Nodes stay larger than ``CROWD`` only where all 63 bits agree.  The first round compares their rows with
+    the next ``CROWD`` ones, which links what is alike in a chain, and leaves them (as pairs of
+    a text with itself) to the second, which compares all that aren't in one class yet.
+    """
     sizes = np.diff(heads)
     end = np.repeat(heads[1:], sizes)
+    opening = quota <= QUOTA
+    held = group[: heads[-1]]
+    if len(held):
+        one_class = np.maximum.reduceat(held, heads[:-1]) == np.minimum.reduceat(held, heads[:-1])
+        end[np.repeat(one_class, sizes)] = 0
+    ahead = CROWD if opening else len(ids)
     work = np.cumsum(sizes.astype(np.int64) ** 2)
     out: list[tuple[np.ndarray, ...]] = []
     start = 0
     while start < len(sizes):  # a few nodes at a time, so that their pairs fit into memory
         stop = max(start + 1, int(np.searchsorted(work, (work[start - 1] if start else 0) + 4_000_000, side="right")))
-        i, j, d = _near(s, n, group, int(heads[start]), int(heads[stop]), end, distance, similarity)
+        i, j, d = _near(s, n, group, int(heads[start]), int(heads[stop]), end, distance, similarity, ahead)
         start = stop
         if not len(i):
             continue
@@ -193,6 +204,9 @@ def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, hea
         swap = ids[i] > ids[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         out.append((ids[i], ids[j], over[i], over[j]))
+    if opening and len(sizes) and sizes.max() > CROWD:
+        again = ids[: heads[-1]][np.repeat(sizes > CROWD, sizes)]
+        out.append((again, again, np.ones(len(again), bool), np.ones(len(again), bool)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -315,7 +329,7 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
     tested = links = None
     while True:
         offered = written(candidates(left, forest, quota, similarity), "offers")
-        fresh = offered.select("a", "b") if tested is None else offered.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        fresh = offered.where("a <> b").select("a", "b") if tested is None else offered.where("a <> b").select("a", "b").join(tested, ["a", "b"], "left_anti")
         found = written(verified(fresh, docs, similarity, scratch), "verified")
         links = found if links is None else links.unionByName(found)
         tested = fresh if tested is None else tested.unionByName(fresh)

@@ -92,6 +92,15 @@ def test_crowds_of_near_copies(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in want) <= 2  # a forest finds pairs with the target probability
 
 
+def test_more_texts_with_one_signature_than_a_node_takes(spark, monkeypatch):
+    monkeypatch.setattr(simhash_forest, "CROWD", 5)
+    monkeypatch.setattr(simhash_forest, "LEAF", 4)
+    words = prose(60, 9).split()
+    rows = [(k, (" " * (k + 1)).join(words)) for k in range(40)] + [(100 + k, prose(50, 900 + k)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash_forest.near_duplicates(df).collect())) == sorted(classes(rows))
+
+
 def test_recall_on_documents(spark, sf_dir):
     docs = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
