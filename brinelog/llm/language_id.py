@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, slices, texts_of
+from .common import carried, give_back, slices, texts_of
 
 BUCKETS, DIM, LONGEST = 1 << 16, 16, 4
 #: Documents of each language that the model learns from, at most (a fixed, hashed choice).
@@ -70,10 +70,8 @@ def ngrams(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     got = [b for _, b in ngrams(code_points(text))]
-    if not sum(map(len, got)):
-        return np.zeros(0, np.int64), np.zeros(0)
-    ids, n = np.unique(np.concatenate(got), return_counts=True)
-    return ids.astype(np.int64), n / n.sum()
+    ids, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.uint32), return_counts=True)
+    return ids.astype(np.int32), n.astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -139,7 +137,8 @@ def train(rows: list[tuple[str, str]]) -> Model:
     step = 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(learn)):
-            ids, share, lang, _ = learn[i]
+            ids, n, lang, _ = learn[i]
+            share = n / n.sum()
             rate = RATE * (1 - step / steps) + 1e-3
             step += 1
             e = embed[ids]
@@ -162,7 +161,7 @@ def calibrated(model: Model, data: list, error: float = 0.01, floor: float = 0.5
     """Fit the temperature by likelihood, and the least score so that at most ``error`` of what is accepted is wrong."""
     if not data:
         return model
-    logits = np.array([share @ model.table[ids] + model.bias for ids, share, _, _ in data])
+    logits = np.array([(n / n.sum()) @ model.table[ids] + model.bias for ids, n, _, _ in data])
     truth = np.array([d[2] for d in data])
 
     def loss(t: float) -> float:
@@ -194,7 +193,9 @@ def fit(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     # a hashed share of each language: its expected size is per_language at most
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * (1 << 30)))))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
-    return train([(r["text"], r["lang"]) for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
+    model = train([(r["text"], r["lang"]) for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"]))])
+    give_back()
+    return model
 
 
 def _identified(rows: DataFrame, model: Model, more: str = "") -> DataFrame:
