@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_BASE, BYTE_BASE_INV, GOLDEN, U64, mix, powers, text_bytes, texts_of, written
+from .common import BYTE_BASE, BYTE_BASE_INV, GOLDEN, U64, Scratch, mix, powers, slices, text_bytes, texts_of, written
 
 LENGTH = 400
 #: Text of a block; bytes of runs in a sorting task; runs with one anchor in a sorting task.
-BLOCK_BYTES, SORT_BYTES, HOT = 4 << 20, 4 << 20, 4096
+BLOCK_BYTES, SORT_BYTES, HOT = 4 << 20, 2 << 20, 4096
 RUNS = "block long, row long, gram long, whole long, lead int, first long, last long"
 SPANS = "block long, row long, first long, last long"
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -108,11 +108,17 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _runs(table: pa.Table, length: int) -> pa.Table:
-    raw, off = text_bytes(_column(table, "text"))
+    texts, row = _column(table, "text"), _numbers(table, "row")
+    rows = pa.RecordBatch.from_arrays([pa.array(row), texts], ["row", "text"])
+    # About a megabyte of text at a time: sums and hashes take eight times as much, several times.
+    return pa.concat_tables(_runs_of(b, table.column("block")[0].as_py(), length) for b in slices(iter([rows]), most=1 << 20))
+
+
+def _runs_of(b: pa.RecordBatch, block: int, length: int) -> pa.Table:
+    raw, off = text_bytes(b.column(1))
     text, first, last, at, gram, whole = anchor_runs(raw, off, length)
-    row = _numbers(table, "row")[text]
-    block = np.full(len(row), table.column("block")[0].as_py())
-    cols = [block, row, gram.view(np.int64), whole.view(np.int64), (at - first).astype(np.int32), first - off[text], last - off[text]]
+    row = b.column(0).to_numpy()[text]
+    cols = [np.full(len(row), block), row, gram.view(np.int64), whole.view(np.int64), (at - first).astype(np.int32), first - off[text], last - off[text]]
     return pa.Table.from_arrays([pa.array(c) for c in cols], ["block", "row", "gram", "whole", "lead", "first", "last"])
 
 
@@ -230,10 +236,11 @@ def _remove(texts: pa.Table, spans: pa.Table, length: int) -> pa.Table:
 def remove_repeated_bytes(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept: the bytes that stay."""
     docs, _ = blocked_rows(df, id_col, text_col)
-    runs = written(docs.groupBy("block").applyInArrow(lambda t: _runs(t, length), RUNS), "runs")
-    again = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    again = written(again, "grams")
+    scratch = Scratch(df.sparkSession)
+    runs = scratch.written(docs.groupBy("block").applyInArrow(lambda t: _runs(t, length), RUNS), "runs")
+    again = scratch.written(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     shared = written(runs.join(again.select("gram"), "gram"), "shared")
+    scratch.drop()
     key = ["gram", "whole", "lead"]
     wholes = shared.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("block", "row", "first", "last")).alias("one"))
     wholes = written(wholes, "wholes")
