@@ -6,7 +6,8 @@ a node share a prefix of permuted bits.  The depth follows the density: the
 forest starts where nodes hold about ``LEAF`` texts, and ``plan`` adds tries, or
 climbs to shorter prefixes where there are few texts, until pairs of the wanted similarity
 meet with the target probability in at least one trie.  Nodes that are still
-crowded go down further bits.  Texts below a node are compared by Hamming
+crowded go down further bits; their texts go through further rounds with shorter prefixes and
+larger nodes, until a round splits none of them.  Texts below a node are compared by Hamming
 distance, and what is near enough is verified on the exact sets of 5-grams.
 
 Exact copies are one node of the link graph from the start.  A text offers its
@@ -42,6 +43,8 @@ SHINGLE, SIMILARITY, BITS = 5, 0.8, 128
 LONG = 1024
 #: Texts below a node, about; most below one after going down; most in a task; most ids that are broadcast; first offers of a text in a node.
 LEAF, CROWD, TASK, BROADCAST_IDS, QUOTA = 128, 1024, 100_000, 200_000, 16
+#: Texts of a node that are compared a few rows at a time.
+LARGE = 2000
 #: Texts of a component of candidate pairs whose sets are compared in one task.
 TOGETHER = 2000
 TARGET = 0.995
@@ -134,8 +137,11 @@ def labels(s: np.ndarray, trie: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits[:, order_of_bits(trie)], axis=1)).view(">u8")[:, 0].astype(np.uint64) >> U64(1)
 
 
-def nodes(label: np.ndarray, depth: int, crowd: int = CROWD) -> np.ndarray:
-    """Where the nodes of sorted labels begin (and the end): ``depth`` bits, more where a node has over ``crowd`` rows."""
+def nodes(label: np.ndarray, depth: int, group: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the nodes of sorted labels begin (and the end), and which rows were in a node that was split.
+
+    Nodes have ``depth`` bits, more where over ``crowd`` rows of several classes share them.
+    """
     deep = np.full(len(label), depth, dtype=np.uint64)
     while True:
         key = label >> (U64(63) - deep)
@@ -143,20 +149,28 @@ def nodes(label: np.ndarray, depth: int, crowd: int = CROWD) -> np.ndarray:
         new[1:] = (key[1:] != key[:-1]) | (deep[1:] != deep[:-1])
         heads = np.append(np.flatnonzero(new), len(label))
         sizes = np.diff(heads)
-        crowded = np.repeat(sizes > crowd, sizes) & (deep < 63)
+        crowded = np.repeat((sizes > crowd) & ~_one_class(group, heads), sizes) & (deep < 63)
         if not crowded.any():
-            return heads
+            return heads, deep > depth
         deep[crowded] += U64(1)
 
 
-def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end: np.ndarray, distance: int, similarity: float, ahead: int) -> tuple[np.ndarray, ...]:
-    """Pairs among rows lo..hi whose nodes end at ``end``, at most ``ahead`` rows apart, from different classes and near enough: i, j, distance."""
+def _one_class(group: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Which nodes hold one class only."""
+    if len(heads) < 2:
+        return np.zeros(0, dtype=bool)
+    held = group[: heads[-1]]
+    return np.maximum.reduceat(held, heads[:-1]) == np.minimum.reduceat(held, heads[:-1])
+
+
+def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end: np.ndarray, distance: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """Pairs among rows lo..hi whose nodes end at ``end``, from different classes and near enough: i, j, distance."""
     found = []
     at, k = np.arange(lo, hi), 0
     while True:
         k += 1
         at = at[at + k < end[at]]
-        if not len(at) or k > ahead:
+        if not len(at):
             break
         d = np.bitwise_count(s[at, 0] ^ s[at + k, 0]) + np.bitwise_count(s[at, 1] ^ s[at + k, 1])
         hit = np.flatnonzero(d <= distance)
@@ -167,52 +181,85 @@ def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
 
 
-def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, heads: np.ndarray, distance: int, quota: int, similarity: float) -> tuple[np.ndarray, ...]:
+def _beside(s: np.ndarray, n: np.ndarray, group: np.ndarray, rows: tuple[int, int], among: tuple[int, int], distance: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """Pairs of the given rows with all rows of a larger part of their node, both ways round: i, j, distance."""
+    (lo, hi), (x, z) = rows, among
+    d = np.bitwise_count(s[lo:hi, 0][:, None] ^ s[x:z, 0]) + np.bitwise_count(s[lo:hi, 1][:, None] ^ s[x:z, 1])
+    i, j = np.nonzero(d <= distance)
+    d = d[i, j]
+    i, j = i + lo, j + x
+    ok = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+    return i[ok], j[ok], d[ok]
+
+
+def _rank(owner: np.ndarray, far: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by owner, nearest pairs first, and the rank of each in it."""
+    order = np.lexsort((pair, far, owner))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = owner[order][1:] != owner[order][:-1]
+    return order, np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+
+
+def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, heads: np.ndarray, split: np.ndarray, distance: int, quota: int, crowd: int, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs (a, b) that are offered for verification, and whether a and b may have more partners than that.
 
-    Nodes stay larger than ``CROWD`` only where all 63 bits agree.  The first round compares their rows with
-    the next ``CROWD`` ones, which links what is alike in a chain, and leaves them (as pairs of
-    a text with itself) to the second, which compares all that aren't in one class yet.
+    ``split`` rows were in a node that went down further bits: what they share it with may be in another part
+    of it.  They are left (as pairs of a text with itself) to the next round, which splits larger
+    nodes only.  Nodes stay larger than ``crowd`` only where all 63 bits agree: their rows are compared with
+    the ones up to ``crowd`` rows away, which links what is alike in a chain, and left to the next round too.
     """
     sizes = np.diff(heads)
-    end = np.repeat(heads[1:], sizes)
-    opening = quota <= QUOTA
-    held = group[: heads[-1]]
-    if len(held):
-        one_class = np.maximum.reduceat(held, heads[:-1]) == np.minimum.reduceat(held, heads[:-1])
-        end[np.repeat(one_class, sizes)] = 0
-    ahead = CROWD if opening else len(ids)
+    alone = _one_class(group, heads)
+    end = np.repeat(np.where(alone, 0, heads[1:]), sizes)
+    again = split[: heads[-1]].copy()
+    again[np.repeat((sizes > crowd) & ~alone, sizes)] = True
     work = np.cumsum(sizes.astype(np.int64) ** 2)
-    out: list[tuple[np.ndarray, ...]] = []
+    large = np.append(np.flatnonzero(sizes > LARGE), len(sizes))
+
+    def ordered(i: np.ndarray, j: np.ndarray, more_i: np.ndarray, more_j: np.ndarray) -> tuple[np.ndarray, ...]:
+        swap = ids[i] > ids[j]
+        return np.where(swap, ids[j], ids[i]), np.where(swap, ids[i], ids[j]), np.where(swap, more_j, more_i), np.where(swap, more_i, more_j)
+
     start = 0
-    while start < len(sizes):  # a few nodes at a time, so that their pairs fit into memory
+    while start < len(sizes):
+        if sizes[start] > LARGE:  # a few rows at a time
+            lo, z = int(heads[start]), 0 if alone[start] else int(heads[start + 1])
+            x = lo
+            while lo < z:
+                part = (max(x, lo - crowd), min(z, lo + 2 * crowd)) if z - x > crowd else (x, z)
+                hi = min(z, lo + max(1, min(crowd, 1_000_000 // (part[1] - part[0]))))
+                i, j, d = _beside(s, n, group, (lo, hi), part, distance, similarity)
+                order, rank = _rank(i, d, j)
+                again[i[order[rank >= quota]]] = True
+                i, j = i[order[rank < quota]], j[order[rank < quota]]
+                new = (i < j) | (j < part[0]) | again[j]  # the others have been offered by j's own rows
+                none = np.zeros(int(new.sum()), dtype=bool)
+                if len(none):
+                    yield ordered(i[new], j[new], none, none)
+                lo = hi
+            start += 1
+            continue
+        # a few nodes at a time, so that their pairs fit into memory
         stop = max(start + 1, int(np.searchsorted(work, (work[start - 1] if start else 0) + 4_000_000, side="right")))
-        i, j, d = _near(s, n, group, int(heads[start]), int(heads[stop]), end, distance, similarity, ahead)
+        stop = min(stop, int(large[np.searchsorted(large, start)]))
+        i, j, d = _near(s, n, group, int(heads[start]), int(heads[stop]), end, distance, similarity)
         start = stop
         if not len(i):
             continue
         owner, pair, far = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2), np.tile(d, 2)
-        order = np.lexsort((pair, far, owner))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = owner[order][1:] != owner[order][:-1]
-        rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        order, rank = _rank(owner, far, pair)
         taken = np.zeros(len(i), dtype=bool)
         taken[pair[order[rank < quota]]] = True
         over = np.zeros(len(ids), dtype=bool)
         over[owner[order[rank >= quota]]] = True
         i, j = i[taken], j[taken]
-        swap = ids[i] > ids[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        out.append((ids[i], ids[j], over[i], over[j]))
-    if opening and len(sizes) and sizes.max() > CROWD:
-        again = ids[: heads[-1]][np.repeat(sizes > CROWD, sizes)]
-        out.append((again, again, np.ones(len(again), bool), np.ones(len(again), bool)))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield ordered(i, j, over[i], over[j])
+    if again.any():
+        left = ids[: heads[-1]][again]
+        yield left, left, np.ones(len(left), bool), np.ones(len(left), bool)
 
 
-def candidates(texts: DataFrame, forest: Forest, quota: int, similarity: float) -> DataFrame:
+def candidates(texts: DataFrame, forest: Forest, quota: int, crowd: int, similarity: float) -> DataFrame:
     """Distinct offers (a, b, more_a, more_b) over all tries for (id, s0, s1, n, class_id)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,25 +272,34 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, similarity: float)
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def run(last: bool) -> pa.RecordBatch | None:
+        def run(last: bool) -> Iterator[pa.RecordBatch]:
             """Compare all nodes that are complete; the last one stays."""
             nonlocal held
             trie, label, ids, s0, s1, n, group = held
             cut = np.flatnonzero(np.diff(trie)) + 1
-            heads = np.concatenate([a + nodes(label[a:z].view(np.uint64), forest.depth)[:-1] for a, z in zip([0, *cut], [*cut, len(trie)], strict=True)] + [[len(trie)]]).astype(np.int64)
-            if not last:
-                heads = heads[:-1]
-            done = offers(ids, np.stack([s0, s1], axis=1).view(np.uint64), n, group, heads, forest.distance, quota, similarity)
-            held = [x[heads[-1] :] for x in held]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["a", "b", "more_a", "more_b"]) if len(done[0]) else None
-
+            parts = [(a, nodes(label[a:z].view(np.uint64), forest.depth, group[a:z], crowd)) for a, z in zip([0, *cut], [*cut, len(trie)], strict=True)]
+            if not last:  # the whole node of ``depth`` bits stays: what follows decides whether it is split
+                bits = label >> (63 - forest.depth)
+                stays = int(np.flatnonzero((bits != bits[-1]) | (trie != trie[-1]))[-1]) + 1 if (bits[0] != bits[-1] or trie[0] != trie[-1]) else 0
+            else:
+                stays = len(trie)
+            heads = np.concatenate([a + h[:-1] for a, (h, _) in parts])
+            heads = np.append(heads[heads < stays], stays).astype(np.int64)
+            split = np.concatenate([x for _, (_, x) in parts])
+            mine, held = held, [x[stays:] for x in held]
+            if stays:
+                for done in offers(ids, np.stack([s0, s1], axis=1).view(np.uint64), n, mine[-1], heads, split, forest.distance, quota, crowd, similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["a", "b", "more_a", "more_b"])
+
+        most = TASK
         for b in batches:
             fresh = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             held = [np.concatenate(x) for x in zip(held, fresh, strict=True)] if held else fresh
-            if len(held[0]) >= TASK and (out := run(False)):
-                yield out
-        if held and (out := run(True)):
-            yield out
+            if len(held[0]) >= most:
+                yield from run(False)
+                most = max(TASK, 2 * len(held[0]))
+        if held and len(held[0]):
+            yield from run(True)
 
     top = max(0, min(forest.depth, 8))
     rows = texts.select("id", "s0", "s1", "n", "class_id").mapInArrow(spread, "trie int, label long, id long, s0 long, s1 long, n int, class_id long")
@@ -324,11 +380,11 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
     # Copies of one text meet here: the smallest id stands for them (partial minima come first, so many copies don't gather).
     stand = written(sketches.where("doc_id IS NOT NULL").groupBy("h0", "h1", "s0", "s1", "n").agg(F.min("doc_id").alias("id")), "texts")
     texts = stand.where("n > 0")
-    forest = plan(texts.count(), similarity, target)
-    left, quota = texts.withColumn("class_id", F.col("id")), QUOTA
+    left, scale = texts.withColumn("class_id", F.col("id")), 1
     tested = links = None
     while True:
-        offered = written(candidates(left, forest, quota, similarity), "offers")
+        forest = plan(left.count(), similarity, target, LEAF * scale)
+        offered = written(candidates(left, forest, QUOTA * scale, CROWD * scale, similarity), "offers")
         fresh = offered.where("a <> b").select("a", "b") if tested is None else offered.where("a <> b").select("a", "b").join(tested, ["a", "b"], "left_anti")
         found = written(verified(fresh, docs, similarity, scratch), "verified")
         links = found if links is None else links.unionByName(found)
@@ -337,7 +393,7 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
         crowded = written(offered.where("more_a").select(F.col("a").alias("id")).union(offered.where("more_b").select("b")).distinct(), "crowded")
         if not crowded.limit(1).count():
             break
-        quota *= 8
+        scale *= 8
         left = written(texts.join(crowded, "id", "left_semi").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")), "left")
     known = sketches.select("doc_id", "h0", "h1").join(stand.select("h0", "h1", F.col("id").alias("own")), ["h0", "h1"], "left")
     own = known.join(classes.withColumnRenamed("id", "own"), "own", "left")
