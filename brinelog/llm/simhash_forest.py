@@ -27,7 +27,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import comb, exp, lgamma, log, log2, pi
+from functools import cache
+from math import ceil, comb, exp, lgamma, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ from .common import written as lasting
 from .components import components
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 128
-#: Bits of the longer signature that offers are sifted by before their sets are fetched.
-LONG = 1024
+#: Bits of the longer signature that offers are sifted by before their sets are fetched; share of missed pairs that the sift may add.
+LONG, SIFTED = 1024, 0.02
+#: Sets up to this size have tries and distances of their own.
+SMALL = 64
 #: Texts below a node, about; most below one after going down; most in a task; most ids that are broadcast; first offers of a text in a node.
 LEAF, CROWD, TASK, BROADCAST_IDS, QUOTA = 128, 1024, 100_000, 200_000, 16
 #: Texts of a node that are compared a few rows at a time.
@@ -98,33 +101,91 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Forest:
-    """tries, depth of the nodes that are compared, and the Hamming distance up to which pairs are verified."""
+    """tries, depth of the nodes that are compared, and the Hamming distance up to which pairs are verified; the tries and distances by size of set.
+
+    ``of_size[n]`` holds for a set of n, the last one for all over ``SMALL``; ``tries`` and ``distance`` are the largest of them.
+    """
 
     tries: int
     depth: int
     distance: int
+    of_size: np.ndarray
+
+    def by_size(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tries and distances of sets of the given sizes."""
+        own = self.of_size[np.minimum(n, SMALL + 1)]
+        return own[:, 0], own[:, 1]
+
+
+def differing(n: int, m: int, similarity: float) -> float:
+    """The exact chance that a bit differs between sets of n and m that have just enough in common.
+
+    Most of a set decides, and ties are 0: it depends on the sizes, most of all if one is even and one odd.
+    """
+    both = ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+    if both > min(n, m):
+        return 0.0
+    x = np.arange(both + 1)
+
+    def one(size: int) -> np.ndarray:
+        """The chance of a 1 if x of the common hashes have it."""
+        rest = size - both
+        tail = np.append(np.cumsum([comb(rest, k) / 2**rest for k in range(rest, -1, -1)])[::-1], 0)
+        return tail[np.clip(size // 2 + 1 - x, 0, rest + 1)]
+
+    p, q = one(n), one(m)
+    return float(np.dot([comb(both, k) / 2**both for k in x.tolist()], p * (1 - q) + q * (1 - p)))
 
 
-def distances(similarity: float, bits: int) -> np.ndarray:
-    """Chances of each Hamming distance between signatures of sets at ``similarity``."""
-    differ = float(np.arccos(2 * similarity / (1 + similarity))) / pi
+@cache
+def chances_by_size(similarity: float) -> np.ndarray:
+    """For sets of each size up to ``SMALL``, and last for all larger ones: the highest chance that a bit differs from one that is similar enough.
+
+    The chance falls towards that of large sets, acos(2s / (1 + s)) / pi, in waves; the sizes just over ``SMALL`` have the highest of the rest.
+    """
+    worst = [0.0]
+    for n in range(1, 2 * SMALL + 1):
+        worst.append(max((differing(n, m, similarity) for m in range(ceil(similarity * n - 1e-9), int(n / similarity + 1e-9) + 1)), default=0.0))
+    limit = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    return np.array([*worst[: SMALL + 1], max(limit, *worst[SMALL + 1 :])])
+
+
+def distances(differ: float, bits: int) -> np.ndarray:
+    """Chances of each Hamming distance between signatures whose bits differ with the given chance."""
+    if differ <= 0:
+        return np.eye(1, bits + 1)[0]
     return np.array([exp(lgamma(bits + 1) - lgamma(h + 1) - lgamma(bits - h + 1) + h * log(differ) + (bits - h) * log(1 - differ)) for h in range(bits + 1)])
 
 
+def farthest(differ: float, bits: int, missed: float) -> int:
+    """The Hamming distance that at most a share of ``missed`` pairs exceeds."""
+    return int(np.searchsorted(np.cumsum(distances(differ, bits)), 1 - missed))
+
+
+def sift_limits(similarity: float) -> np.ndarray:
+    """Up to how many bits of the longer signature may differ, by size of set as in ``chances_by_size``."""
+    return np.array([farthest(x, LONG, (1 - TARGET) * SIFTED) for x in chances_by_size(similarity)])
+
+
 def plan(n: int, similarity: float = SIMILARITY, target: float = TARGET, leaf: int = LEAF) -> Forest:
-    """Depth by density, and tries until pairs at ``similarity`` meet with probability ``target``.
+    """Depth by density, and tries until pairs at ``similarity`` meet with probability ``target``, for each size of set.
 
-    Sets with Jaccard similarity s have a cosine of 2s / (1 + s) at equal sizes (more
-    otherwise), so a bit differs with probability acos(cosine) / pi.
+    Large sets with Jaccard similarity s have a cosine of 2s / (1 + s) at equal sizes (more
+    otherwise), so a bit differs with probability acos(cosine) / pi; small ones differ in more.
     """
-    chance = distances(similarity, BITS)
-    distance = int(np.searchsorted(np.cumsum(chance), 1 - (1 - target) / 10))
     depth = max(0, min(48, int(log2(max(n, 1) / leaf)))) if n > leaf else 0
-    share = [comb(BITS - h, depth) / comb(BITS, depth) for h in range(distance + 1)]
-    tries = 1
-    while sum(c * (1 - (1 - s) ** tries) for c, s in zip(chance, share, strict=False)) < target:
-        tries += max(1, tries // 16)
-    return Forest(tries, depth, distance)
+    need = target + (1 - target) * SIFTED
+    known: dict[float, tuple[int, int]] = {}
+    for differ in np.unique(chances_by_size(similarity)).tolist():
+        chance = distances(differ, BITS)
+        distance = farthest(differ, BITS, (1 - target) / 10)
+        share = np.array([comb(BITS - h, depth) / comb(BITS, depth) for h in range(distance + 1)])
+        tries = 1
+        while float((chance[: distance + 1] * (1 - (1 - share) ** tries)).sum()) < need:
+            tries += max(1, tries // 16)
+        known[differ] = tries, distance
+    of_size = np.array([known[x] for x in chances_by_size(similarity).tolist()])
+    return Forest(int(of_size[:, 0].max()), depth, int(of_size[:, 1].max()), of_size)
 
 
 def order_of_bits(trie: int) -> np.ndarray:
@@ -163,7 +224,7 @@ def _one_class(group: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(held, heads[:-1]) == np.minimum.reduceat(held, heads[:-1])
 
 
-def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end: np.ndarray, distance: int, similarity: float) -> tuple[np.ndarray, ...]:
+def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end: np.ndarray, distance: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
     """Pairs among rows lo..hi whose nodes end at ``end``, from different classes and near enough: i, j, distance."""
     found = []
     at, k = np.arange(lo, hi), 0
@@ -173,7 +234,7 @@ def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end
         if not len(at):
             break
         d = np.bitwise_count(s[at, 0] ^ s[at + k, 0]) + np.bitwise_count(s[at, 1] ^ s[at + k, 1])
-        hit = np.flatnonzero(d <= distance)
+        hit = np.flatnonzero(d <= distance[at])
         i, j = at[hit], at[hit] + k
         ok = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
         found.append((i[ok], j[ok], d[hit][ok]))
@@ -181,11 +242,11 @@ def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
 
 
-def _beside(s: np.ndarray, n: np.ndarray, group: np.ndarray, rows: tuple[int, int], among: tuple[int, int], distance: int, similarity: float) -> tuple[np.ndarray, ...]:
+def _beside(s: np.ndarray, n: np.ndarray, group: np.ndarray, rows: tuple[int, int], among: tuple[int, int], distance: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
     """Pairs of the given rows with all rows of a larger part of their node, both ways round: i, j, distance."""
     (lo, hi), (x, z) = rows, among
     d = np.bitwise_count(s[lo:hi, 0][:, None] ^ s[x:z, 0]) + np.bitwise_count(s[lo:hi, 1][:, None] ^ s[x:z, 1])
-    i, j = np.nonzero(d <= distance)
+    i, j = np.nonzero(d <= distance[lo:hi, None])
     d = d[i, j]
     i, j = i + lo, j + x
     ok = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
@@ -200,7 +261,7 @@ def _rank(owner: np.ndarray, far: np.ndarray, pair: np.ndarray) -> tuple[np.ndar
     return order, np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
 
 
-def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, heads: np.ndarray, split: np.ndarray, distance: int, quota: int, crowd: int, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, heads: np.ndarray, split: np.ndarray, distance: np.ndarray, quota: int, crowd: int, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs (a, b) that are offered for verification, and whether a and b may have more partners than that.
 
     ``split`` rows were in a node that went down further bits: what they share it with may be in another part
@@ -265,9 +326,13 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, crowd: int, similar
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = np.stack([b.column(k).to_numpy() for k in (1, 2)], axis=1).view(np.uint64)
+            tries = forest.by_size(b.column(3).to_numpy())[0]
             for trie in range(forest.tries):
-                label = pa.array(labels(s, trie).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, trie, np.int32)), label, *b.columns], ["trie", "label", "id", "s0", "s1", "n", "class_id"])
+                take = np.flatnonzero(tries > trie)
+                if len(take):
+                    label = pa.array(labels(s[take], trie).view(np.int64))
+                    rows = b.take(pa.array(take)) if len(take) < b.num_rows else b
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), trie, np.int32)), label, *rows.columns], ["trie", "label", "id", "s0", "s1", "n", "class_id"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -288,7 +353,7 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, crowd: int, similar
             split = np.concatenate([x for _, (_, x) in parts])
             mine, held = held, [x[stays:] for x in held]
             if stays:
-                for done in offers(ids, np.stack([s0, s1], axis=1).view(np.uint64), n, mine[-1], heads, split, forest.distance, quota, crowd, similarity):
+                for done in offers(ids, np.stack([s0, s1], axis=1).view(np.uint64), n, mine[-1], heads, split, forest.by_size(n)[1], quota, crowd, similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["a", "b", "more_a", "more_b"])
 
         most = TASK
@@ -308,11 +373,11 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, crowd: int, similar
 
 
 def sets_and_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, grams, sign) of (doc_id, text): the set of word 5-grams and a longer signature."""
+    """(id, grams, sign) of (doc_id, text): the set of word 5-grams, and its size and a longer signature."""
     for b in slices(batches, most=1 << 18):
         h, off = shingle_sets(b.column(1))
         blobs = [squeeze(h[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)]
-        longer = [x.tobytes() for x in simhash(h, off, LONG)]
+        longer = [x.tobytes() for x in np.concatenate([np.diff(off).astype(np.uint64)[:, None], simhash(h, off, LONG)], axis=1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), pa.array(longer, pa.binary())], ["id", "grams", "sign"])
 
 
@@ -324,20 +389,21 @@ def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets of word 5-grams are similar enough, by exact intersection.
 
-    A longer signature sifts the pairs first.  What is left falls into components; the sets
+    A longer signature sifts the pairs first, by limits that follow from the sizes of the sets.  What is left falls into components; the sets
     of one of up to ``TOGETHER`` texts are sent to one task once, and all its pairs are
     verified there.  Pairs of larger components fetch their sets pair by pair.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     grams = scratch.written(docs.join(ids, "doc_id").mapInArrow(sets_and_signs, "id long, grams binary, sign binary"), "grams")
-    most = int(np.searchsorted(np.cumsum(distances(similarity, LONG)), 1 - (1 - TARGET) / 50))
+    limits = sift_limits(similarity)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, LONG // 64) for c in b.columns[2:])
-                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(-1, 1 + LONG // 64) for c in b.columns[2:])
+                most = limits[np.minimum(np.minimum(x[:, 0], y[:, 0]), U64(SMALL + 1)).astype(np.int64)]
+                near = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(axis=1, dtype=np.int64) <= most
                 yield b.select(["a", "b"]).filter(pa.array(near))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,3 +155,27 @@ def test_near_copies_within_a_crowd_of_one_template(spark):
     missed = sum(got[i + 1] != got[i] for i in pairs)
     print("missed", missed, "of", len(pairs), "classes", len(set(got.values())))
     assert missed <= 0.01 * len(pairs)
+
+
+def test_small_sets_at_the_threshold(spark):
+    """Texts of 8 words and the same with one word more share 4 of 5 word 5-grams: exactly 0.8."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(2000):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+        rows += [(2 * k, " ".join(w[:8])), (2 * k + 1, " ".join(w))]
+    got = {r["doc_id"]: r["class_id"] for r in simhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = sum(got[2 * k + 1] != 2 * k for k in range(2000))
+    print("missed", missed)
+    assert missed <= 20 and all(got[2 * k] == 2 * k for k in range(2000))
+
+
+def test_plan_follows_sizes():
+    chance = simhash_forest.chances_by_size(0.8)
+    assert chance[4] == chance[5] == pytest.approx(0.1875) and chance[3] == 0
+    rng = np.random.default_rng(3)
+    for n, m, both in ((4, 5, 4), (12, 15, 12), (64, 71, 60), (33, 30, 28)):
+        h = rng.integers(0, 2**63, n + m - both).astype(np.uint64)
+        sets = np.concatenate([h[:n], h[n - both :]])
+        s = simhash_forest.simhash(sets, np.array([0, n, n + m]), 1 << 14)
+        assert np.bitwise_count(s[0] ^ s[1]).sum() / (1 << 14) == pytest.approx(simhash_forest.differing(n, m, 0.8), abs=0.02)
