@@ -469,7 +469,16 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
 
 
 def one_of_each(df: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table without the rows whose id isn't the smallest of their class."""
-    classes = near_duplicates(df, similarity, target, id_col, text_col)
-    gone = lasting(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
-    return df.join(gone, id_col, "left_anti")
+    """The table with one row of each class of texts: the one with the smallest id, null ids last.
+
+    Rows are told apart by numbers of their own, so that repeated and null ids neither keep copies nor link different texts.
+    """
+    row = "_row"
+    while row.lower() in {c.lower() for c in df.columns}:
+        row += "_"
+    rows = lasting(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    classes = near_duplicates(rows, similarity, target, row, text_col).withColumnRenamed("doc_id", row)
+    ids = rows.select(row, F.col(f"`{id_col}`").cast("long").alias("id"))
+    kept = classes.join(ids, row).groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).getField(row).alias("kept"))
+    gone = lasting(classes.join(kept, "class_id").where(F.col(row) != F.col("kept")).select(row), "copies")
+    return rows.join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -179,3 +179,10 @@ def test_plan_follows_sizes():
         sets = np.concatenate([h[:n], h[n - both :]])
         s = simhash_forest.simhash(sets, np.array([0, n, n + m]), 1 << 14)
         assert np.bitwise_count(s[0] ^ s[1]).sum() / (1 << 14) == pytest.approx(simhash_forest.differing(n, m, 0.8), abs=0.02)
+
+
+def test_one_row_of_each_class_with_repeated_and_null_ids(spark):
+    one, other, third = prose(80, 701), prose(80, 702), prose(80, 703)
+    rows = [(1, one, "a"), (1, one, "b"), (None, one, "c"), (1, other, "d"), (2, one, "e"), (None, third, "f"), (None, third, "g"), (3, other, "h"), (4, None, "i"), (None, "", "j")]
+    kept = simhash_forest.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _row string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, one), (1, other), (None, third), (4, None)], key=repr)
