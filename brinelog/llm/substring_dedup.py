@@ -224,7 +224,8 @@ def remove_repeats(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", te
     return _kept(texts_of(df, id_col, text_col), size, False)
 
 
-def cleaned(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table with its repeated windows taken out of the texts; texts that lose nothing stay as they are, texts that lose all words go."""
+def cleaned(df: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", emptied: bool = False) -> DataFrame:
+    """The table with its repeated windows taken out of the texts; texts that lose nothing stay as they are, rows that lose all words go, or stay with an empty text if ``emptied``."""
     rows, restore, more = carried(df, id_col, text_col)
-    return _kept(rows, size, True, more).where("n_removed = 0 OR n_removed < n_words").select(*restore)
+    kept = _kept(rows, size, True, more)
+    return (kept if emptied else kept.where("n_removed = 0 OR n_removed < n_words")).select(*restore)

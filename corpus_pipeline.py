@@ -55,8 +55,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out passages that start in an earlier document; ``n_chars`` follows the text."""
-    return substring_dedup.cleaned(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Take out passages that start in an earlier document; ``n_chars`` follows the text.  Every document stays, with an empty text if nothing is left."""
+    return substring_dedup.cleaned(docs, emptied=True).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from helpers import awkward, frame, words_of
+from helpers import awkward, frame, prose, words_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -167,3 +167,9 @@ def test_pipeline_on_awkward_and_empty_tables(spark, sf_dir):
         docs = frame(spark, rows)
         for _, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), stage(spark, docs, sf_dir).schema)
+
+
+def test_substring_stage_keeps_every_document(spark, sf_dir):
+    docs = frame(spark, [r for r in awkward() if r[0] in (4, 5, 10, 11)] + [(20, prose(60, 2), "xx", "s", 0, 7, 7, "w", 3, "c", 1, "z", 2, 9)])
+    got = sorted((r["doc_id"], r["text"] == "", r["n_chars"] == 0) for r in corpus_pipeline.substring(spark, docs, sf_dir).collect())
+    assert got == [(4, False, False), (5, False, False), (5, False, False), (10, False, False), (11, True, True), (20, True, True)]
