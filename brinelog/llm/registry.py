@@ -24,7 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document inserted in one batch, which is then sent again without effect."""
+    """Every document inserted in one batch, which is sent again without effect, then revised to half its text, deleted, and inserted as it was.
+
+    Rows with null doc_id can't be addressed, so only the first batch has them.
+    """
     from .token_counts import Ledger
 
     path, version = tokenizer_path("byte_bpe_50k.json"), "byte_bpe_50k"
@@ -32,6 +35,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = table(spark, sf_dir, "documents").select("doc_id", F.lit("insert").alias("op"), "text", "source", "lang")
     ledger.commit("load", changes, path, version)
     ledger.commit("load", changes, path, version)
+    known = changes.where("doc_id IS NOT NULL")
+    half = F.expr("substring(text, 1, char_length(text) div 2)")
+    ledger.commit("revise", known.withColumn("op", F.lit("revise")).withColumn("text", half), path, version)
+    ledger.commit("delete", known.withColumn("op", F.lit("delete")).withColumn("text", F.lit(None).cast("string")), path, version)
+    ledger.commit("reinsert", known, path, version)
     return ledger.totals()
 
 

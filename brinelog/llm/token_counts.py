@@ -14,7 +14,7 @@ Defined results: null text has 0 tokens; null source or language is a group of
 its own; deleting or revising an unknown document deletes nothing (a revision
 inserts); inserting a live document revises it; if one batch holds several
 changes of one document, the one with the highest ``change_no`` counts, and on
-ties the greatest by (op, text, source, lang); rows with null doc_id are
+ties, or without ``change_no``, the greatest by (op, text, source, lang); rows with null doc_id are
 counted, but can't be addressed later; an unknown op fails the batch; extra
 columns are not looked at; an empty batch commits an empty delta.
 """
@@ -86,7 +86,9 @@ class Ledger:
         before = self.batches()
         op = F.when(F.col("op").isin("insert", "delete", "revise"), F.col("op")).otherwise(F.raise_error(F.lit("op must be insert, delete or revise")))
         changes = changes.withColumn("op", op)
-        if "change_no" in changes.columns:
+        numbered = "change_no" in changes.columns
+        if numbered or changes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+            changes = changes if numbered else changes.withColumn("change_no", F.lit(None).cast("long"))
             last = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("change_no"), F.desc("op"), F.desc("text"), F.desc("source"), F.desc("lang"))
             keyed = changes.where("doc_id IS NOT NULL").withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
             changes = keyed.unionByName(changes.where("doc_id IS NULL"))

@@ -115,3 +115,31 @@ def test_ledger(spark):
     with pytest.raises(Exception, match="op must be"):
         ledger.commit("b5", batch((1, "upsert", "x", "a", "en", 1)), BYTES, "v1")
     assert totals() == want and token_counts.Ledger(spark).totals().count() == 0
+
+
+def test_ledger_without_change_numbers(spark):
+    cols = "doc_id long, op string, text string, source string, lang string"
+    n = lambda t: len(ids_of(t)) - 1
+    ledger = token_counts.Ledger(spark)
+    rows = [(1, "insert", "one two", "a", "en"), (1, "insert", "some more words", "a", "en"), (2, "insert", "three", "a", "en"), (2, "delete", "three", "a", "en"), (None, "insert", "x", "a", "en"), (None, "insert", "x", "a", "en")]
+    ledger.commit("b1", spark.createDataFrame(rows, cols), BYTES, "v1")
+    assert [(r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()] == [(4, n("some more words") + n("three") + 2 * n("x"))]
+    ledger.commit("b2", spark.createDataFrame([(1, "delete", None, "a", "en"), (2, "delete", None, "a", "en")], cols), BYTES, "v1")
+    assert [(r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()] == [(2, 2 * n("x"))]
+
+
+def test_counts_query_deletes_and_revises_the_whole_table(spark, sf_dir, monkeypatch):
+    from brinelog.llm.registry import QUERIES
+
+    ledgers = []
+    start = token_counts.Ledger.__init__
+    monkeypatch.setattr(token_counts.Ledger, "__init__", lambda self, *x: (start(self, *x), ledgers.append(self))[0])
+    got = {tuple(r[:3]): (r["n_docs"], r["n_tokens"]) for r in QUERIES["op1_token_counts"](spark, sf_dir).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        docs, tokens = want.get((r["source"], r["lang"], "byte_bpe_50k"), (0, 0))
+        want[r["source"], r["lang"], "byte_bpe_50k"] = docs + 1, tokens + len(ids_of(r["text"])) - 1
+    assert got == want
+    signs = {(b, r["sign"]): r["count"] for b in ledgers[0].batches() for r in ledgers[0]._read("rows", token_counts.ROWS, [b]).groupBy("sign").count().collect()}
+    n = sum(d for d, _ in want.values())
+    assert signs == {("load", 1): n, ("revise", 1): n, ("revise", -1): n, ("delete", -1): n, ("reinsert", 1): n}
