@@ -39,9 +39,10 @@ def point_get(snapshot: DataFrame, key: str) -> DataFrame:
     return snapshot.where(F.col("key") == key)
 
 
-def range_scan(snapshot: DataFrame, low: str, high: str, most: int) -> DataFrame:
-    """The first keys from ``low`` to ``high`` in byte order."""
-    return snapshot.where(F.col("key").between(low, high)).orderBy("key").limit(most)
+def range_scan(snapshot: DataFrame, low: str, high: str, most: int | None = None) -> DataFrame:
+    """The keys from ``low`` to ``high`` in byte order: all, or the first ``most``."""
+    found = snapshot.where(F.col("key").between(low, high)).orderBy("key")
+    return found if most is None else found.limit(most)
 
 
 def run_manifest(runs: DataFrame, entry_size: object) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from brinelog.operators import merge
 from brinelog.plans import QUERIES, SQL
 
 
@@ -36,3 +37,10 @@ def test_same_rows(spark, sf_dir, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_others_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_range_scan_whole_and_by_page(spark):
+    keys = [f"user:{k:03d}" for k in range(100)]
+    snapshot = spark.createDataFrame([(k, "v") for k in reversed(keys)], "key string, value string")
+    assert [r["key"] for r in merge.range_scan(snapshot, "user:010", "user:059").collect()] == keys[10:60]
+    assert [r["key"] for r in merge.range_scan(snapshot, "user:010", "user:059", 20).collect()] == keys[10:30]
