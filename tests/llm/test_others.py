@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from helpers import awkward, frame, prose, words_of
+from helpers import awkward, classes, frame, prose, without_repeats, words_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -173,3 +173,23 @@ def test_substring_stage_keeps_every_document(spark, sf_dir):
     docs = frame(spark, [r for r in awkward() if r[0] in (4, 5, 10, 11)] + [(20, prose(60, 2), "xx", "s", 0, 7, 7, "w", 3, "c", 1, "z", 2, 9)])
     got = sorted((r["doc_id"], r["text"] == "", r["n_chars"] == 0) for r in corpus_pipeline.substring(spark, docs, sf_dir).collect())
     assert got == [(4, False, False), (5, False, False), (5, False, False), (10, False, False), (11, True, True), (20, True, True)]
+
+
+def test_dedup_stages_as_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    stand = {c for _, c in classes(rows)}
+    near = spark.createDataFrame(corpus_pipeline.near_dedup(spark, docs, sf_dir).collect(), docs.schema)
+    kept = [(r["doc_id"], r["text"]) for r in near.collect()]
+    assert sorted(kept) == sorted((i, t) for i, t in rows if i in stand)
+    want = {i: t if not lost else left for (i, t), (_, _, lost, left) in zip(kept, without_repeats(kept), strict=True)}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.substring(spark, near, sf_dir).collect()} == want
+
+
+def test_run_is_the_composition_of_the_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, sf_dir)
+        docs = spark.createDataFrame(made.collect(), made.schema)
+    key = ["doc_id", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, docs.select(key).collect())) == sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select(key).collect()))
