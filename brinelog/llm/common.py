@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -168,25 +169,6 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """64-bit hash of each byte span raw[start:end], in order of place; equal spans get equal hashes."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    k = 0
-    while k < len(starts):  # about ``most`` bytes at a time: the sums take eight times as much
-        z = max(k + 1, int(np.searchsorted(ends, starts[k] + most, side="right")))
-        out[k:z] = _span_hashes(raw[starts[k] : ends[z - 1]], starts[k:z] - starts[k], ends[k:z] - starts[k])
-        k = z
-    return out
-
-
-def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = len(raw)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + U64(1)) * powers(BYTE_BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(BYTE_BASE_INV, n + 1)[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * GOLDEN))
-
-
 def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the index of the first word of each text (n + 1)."""
     if not len(raw):
@@ -206,6 +188,19 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
+def digests(values: Iterable[bytes]) -> np.ndarray:
+    """(n, 2) uint64: 128 bits of BLAKE2b of each value."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in values), dtype="<u8").reshape(-1, 2)
+
+
+def word_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, 2) uint64: ``digests`` of all words of ``raw``, as ``word_spans`` finds them; each distinct word is digested once."""
+    bytes_of_words = np.ascontiguousarray(raw[~IS_SPACE[raw]])
+    off = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(bytes_of_words)]).dictionary_encode()
+    return digests(words.dictionary.to_pylist())[words.indices.to_numpy()]
+
+
 def window_hashes(words: np.ndarray, size: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Hash of every ``size`` consecutive word hashes (across text ends too: callers mask those)."""
     n = len(words) - size + 1

@@ -6,9 +6,10 @@ a node share a prefix of permuted bits.  The depth follows the density: the
 forest starts where nodes hold about ``LEAF`` texts, and ``plan`` adds tries, or
 climbs to shorter prefixes where there are few texts, until pairs of the wanted similarity
 meet with the target probability in at least one trie.  Nodes that are still
-crowded go down further bits; their texts go through further rounds with shorter prefixes and
+crowded go down further bits; their texts climb: they go through further rounds with shorter prefixes and
 larger nodes, until a round splits none of them.  Texts below a node are compared by Hamming
-distance, and what is near enough is verified on the exact sets of 5-grams.
+distance (in further rounds also by that of a signature of 4,096 bits, which a crowd
+of texts with one template needs), and what is near enough is verified on the exact sets of 5-grams.
 
 Exact copies are one node of the link graph from the start.  A text offers its
 nearest ``QUOTA`` partners in a node first.  A pair is left out only if both texts had
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, expand, in_sorted, mix, slices, span_hashes, squeeze, text_bytes, texts_of, window_hashes, word_spans
+from .common import U64, Scratch, digests, expand, in_sorted, mix, slices, squeeze, text_bytes, texts_of, window_hashes, word_digests, word_spans
 from .common import written as lasting
 from .components import components
 
@@ -45,7 +46,11 @@ LONG, SIFTED = 1024, 0.02
 #: Sets up to this size have tries and distances of their own.
 SMALL = 64
 #: Texts below a node, about; most below one after going down; most in a task; most ids that are broadcast; first offers of a text in a node.
-LEAF, CROWD, TASK, BROADCAST_IDS, QUOTA = 128, 1024, 100_000, 200_000, 16
+LEAF, CROWD, TASK, BROADCAST_IDS, QUOTA = 512, 2048, 100_000, 200_000, 16
+#: Times that nodes and quotas grow from round to round; bits of the signature that texts of further rounds bring along.
+CLIMB, WIDE = 64, 4096
+#: Bits of a label.
+LABEL = 50
 #: Texts of a node that are compared a few rows at a time.
 LARGE = 2000
 #: Texts of a component of candidate pairs whose sets are compared in one task.
@@ -58,7 +63,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.n
     """Distinct hashes of word windows of each text, sorted within it, and their offsets (n + 1)."""
     raw, off = text_bytes(texts)
     starts, ends, first = word_spans(raw, off)
-    every = window_hashes(span_hashes(raw, starts, ends), size)
+    every = window_hashes(word_digests(raw, starts, ends)[:, 0], size)
     n = np.maximum(np.diff(first) - size + 1, 0)
     owner = np.repeat(np.arange(len(n)), n)
     h = every[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[owner]]
@@ -87,15 +92,17 @@ def simhash(hashes: np.ndarray, off: np.ndarray, bits: int = BITS) -> np.ndarray
     return out
 
 
+def text_digests(texts: pa.Array) -> np.ndarray:
+    """(n, 2) digests of whole texts; null is empty."""
+    return np.ascontiguousarray(digests((x or "").encode() for x in texts.to_pylist()).T).T
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, most=1 << 20):
-        raw, off = text_bytes(b.column(1))
-        one = span_hashes(raw, off[:-1], off[1:])
-        # a second, independent hash of the whole text: of its bytes in pairs of weights
-        two = span_hashes(raw ^ np.uint8(0xA5), off[:-1], off[1:])
+        one, two = text_digests(b.column(1)).T
         hashes, cut = shingle_sets(b.column(1))
         s = simhash(hashes, cut)
-        cols = [b.column(0), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (one, two, np.ascontiguousarray(s[:, 0]), np.ascontiguousarray(s[:, 1]))), pa.array(np.diff(cut).astype(np.int32))]
+        cols = [b.column(0), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (one, two, s[:, 0], s[:, 1])), pa.array(np.diff(cut).astype(np.int32))]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h0", "h1", "s0", "s1", "n"])
 
 
@@ -162,9 +169,9 @@ def farthest(differ: float, bits: int, missed: float) -> int:
     return int(np.searchsorted(np.cumsum(distances(differ, bits)), 1 - missed))
 
 
-def sift_limits(similarity: float) -> np.ndarray:
-    """Up to how many bits of the longer signature may differ, by size of set as in ``chances_by_size``."""
-    return np.array([farthest(x, LONG, (1 - TARGET) * SIFTED) for x in chances_by_size(similarity)])
+def sift_limits(similarity: float, bits: int = LONG) -> np.ndarray:
+    """Up to how many bits of a longer signature may differ, by size of set as in ``chances_by_size``."""
+    return np.array([farthest(x, bits, (1 - TARGET) * SIFTED) for x in chances_by_size(similarity)])
 
 
 def plan(n: int, similarity: float = SIMILARITY, target: float = TARGET, leaf: int = LEAF) -> Forest:
@@ -193,9 +200,9 @@ def order_of_bits(trie: int) -> np.ndarray:
 
 
 def labels(s: np.ndarray, trie: int) -> np.ndarray:
-    """The first 63 permuted bits of each signature, most significant first, as a positive number."""
+    """The first ``LABEL`` permuted bits of each signature, most significant first, as a number."""
     bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8), axis=1)
-    return np.ascontiguousarray(np.packbits(bits[:, order_of_bits(trie)], axis=1)).view(">u8")[:, 0].astype(np.uint64) >> U64(1)
+    return np.ascontiguousarray(np.packbits(bits[:, order_of_bits(trie)], axis=1)).view(">u8")[:, 0].astype(np.uint64) >> U64(64 - LABEL)
 
 
 def nodes(label: np.ndarray, depth: int, group: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,12 +212,12 @@ def nodes(label: np.ndarray, depth: int, group: np.ndarray, crowd: int) -> tuple
     """
     deep = np.full(len(label), depth, dtype=np.uint64)
     while True:
-        key = label >> (U64(63) - deep)
+        key = label >> (U64(LABEL) - deep)
         new = np.ones(len(label), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (deep[1:] != deep[:-1])
         heads = np.append(np.flatnonzero(new), len(label))
         sizes = np.diff(heads)
-        crowded = np.repeat((sizes > crowd) & ~_one_class(group, heads), sizes) & (deep < 63)
+        crowded = np.repeat((sizes > crowd) & ~_one_class(group, heads), sizes) & (deep < LABEL)
         if not crowded.any():
             return heads, deep > depth
         deep[crowded] += U64(1)
@@ -224,6 +231,29 @@ def _one_class(group: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(held, heads[:-1]) == np.minimum.reduceat(held, heads[:-1])
 
 
+class Wide:
+    """The longer signatures of rows, and how many of their bits may differ."""
+
+    def __init__(self, blobs: list[bytes], n: np.ndarray, limits: np.ndarray) -> None:
+        self.bits = np.frombuffer(b"".join(blobs), dtype=np.uint64).reshape(len(blobs), -1)
+        self.most = limits[np.minimum(n, SMALL + 1)]
+
+    def sifted(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pairs that are near enough by these too, and that distance."""
+        parts = []
+        part = 1 + self.bits.shape[1] // 4
+        for x in range(0, len(i), 1 << 15):  # a part of the bits rules out most
+            p, q = i[x : x + (1 << 15)], j[x : x + (1 << 15)]
+            most = np.minimum(self.most[p], self.most[q])
+            some = np.bitwise_count(self.bits[p, :part] ^ self.bits[q, :part]).sum(axis=1, dtype=np.int64)
+            left = some <= most
+            p, q, most, some = p[left], q[left], most[left], some[left]
+            some += np.bitwise_count(self.bits[p, part:] ^ self.bits[q, part:]).sum(axis=1, dtype=np.int64)
+            left = some <= most
+            parts.append((p[left], q[left], some[left]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (i, j, d.astype(np.int64))
+
+
 def _near(s: np.ndarray, n: np.ndarray, group: np.ndarray, lo: int, hi: int, end: np.ndarray, distance: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
     """Pairs among rows lo..hi whose nodes end at ``end``, from different classes and near enough: i, j, distance."""
     found = []
@@ -261,12 +291,12 @@ def _rank(owner: np.ndarray, far: np.ndarray, pair: np.ndarray) -> tuple[np.ndar
     return order, np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
 
 
-def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, heads: np.ndarray, split: np.ndarray, distance: np.ndarray, quota: int, crowd: int, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, heads: np.ndarray, split: np.ndarray, distance: np.ndarray, quota: int, crowd: int, similarity: float, wide: Wide | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs (a, b) that are offered for verification, and whether a and b may have more partners than that.
 
     ``split`` rows were in a node that went down further bits: what they share it with may be in another part
     of it.  They are left (as pairs of a text with itself) to the next round, which splits larger
-    nodes only.  Nodes stay larger than ``crowd`` only where all 63 bits agree: their rows are compared with
+    nodes only.  Nodes stay larger than ``crowd`` only where all bits of the label agree: their rows are compared with
     the ones up to ``crowd`` rows away, which links what is alike in a chain, and left to the next round too.
     """
     sizes = np.diff(heads)
@@ -290,6 +320,8 @@ def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, hea
                 part = (max(x, lo - crowd), min(z, lo + 2 * crowd)) if z - x > crowd else (x, z)
                 hi = min(z, lo + max(1, min(crowd, 1_000_000 // (part[1] - part[0]))))
                 i, j, d = _beside(s, n, group, (lo, hi), part, distance, similarity)
+                if wide:
+                    i, j, d = wide.sifted(i, j, d)
                 order, rank = _rank(i, d, j)
                 again[i[order[rank >= quota]]] = True
                 i, j = i[order[rank < quota]], j[order[rank < quota]]
@@ -305,6 +337,8 @@ def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, hea
         stop = min(stop, int(large[np.searchsorted(large, start)]))
         i, j, d = _near(s, n, group, int(heads[start]), int(heads[stop]), end, distance, similarity)
         start = stop
+        if wide:
+            i, j, d = wide.sifted(i, j, d)
         if not len(i):
             continue
         owner, pair, far = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2), np.tile(d, 2)
@@ -321,7 +355,11 @@ def offers(ids: np.ndarray, s: np.ndarray, n: np.ndarray, group: np.ndarray, hea
 
 
 def candidates(texts: DataFrame, forest: Forest, quota: int, crowd: int, similarity: float) -> DataFrame:
-    """Distinct offers (a, b, more_a, more_b) over all tries for (id, s0, s1, n, class_id)."""
+    """Distinct offers (a, b, more_a, more_b) over all tries for (id, s0, s1, n), in further rounds with (class_id, wide) too."""
+
+    later = "wide" in texts.columns
+    kinds = "id long, s0 long, s1 long, n int" + ", class_id long, wide binary" * later
+    limits = sift_limits(similarity, WIDE) if later else None
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,9 +368,9 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, crowd: int, similar
             for trie in range(forest.tries):
                 take = np.flatnonzero(tries > trie)
                 if len(take):
-                    label = pa.array(labels(s[take], trie).view(np.int64))
+                    key = pa.array((labels(s[take], trie) | U64(trie << LABEL)).view(np.int64))
                     rows = b.take(pa.array(take)) if len(take) < b.num_rows else b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), trie, np.int32)), label, *rows.columns], ["trie", "label", "id", "s0", "s1", "n", "class_id"])
+                    yield pa.RecordBatch.from_arrays([key, *rows.columns], ["key", *rows.schema.names])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -340,20 +378,23 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, crowd: int, similar
         def run(last: bool) -> Iterator[pa.RecordBatch]:
             """Compare all nodes that are complete; the last one stays."""
             nonlocal held
-            trie, label, ids, s0, s1, n, group = held
+            key, ids, s0, s1, n = held[:5]
+            group = held[5] if later else ids
+            trie, label = key >> LABEL, key & ((1 << LABEL) - 1)
             cut = np.flatnonzero(np.diff(trie)) + 1
             parts = [(a, nodes(label[a:z].view(np.uint64), forest.depth, group[a:z], crowd)) for a, z in zip([0, *cut], [*cut, len(trie)], strict=True)]
             if not last:  # the whole node of ``depth`` bits stays: what follows decides whether it is split
-                bits = label >> (63 - forest.depth)
-                stays = int(np.flatnonzero((bits != bits[-1]) | (trie != trie[-1]))[-1]) + 1 if (bits[0] != bits[-1] or trie[0] != trie[-1]) else 0
+                bits = key >> (LABEL - forest.depth)
+                stays = int(np.flatnonzero(bits != bits[-1])[-1]) + 1 if bits[0] != bits[-1] else 0
             else:
                 stays = len(trie)
             heads = np.concatenate([a + h[:-1] for a, (h, _) in parts])
             heads = np.append(heads[heads < stays], stays).astype(np.int64)
             split = np.concatenate([x for _, (_, x) in parts])
-            mine, held = held, [x[stays:] for x in held]
+            wide = Wide(held[6][:stays].tolist(), n[:stays], limits) if later else None
+            held = [x[stays:] for x in held]
             if stays:
-                for done in offers(ids, np.stack([s0, s1], axis=1).view(np.uint64), n, mine[-1], heads, split, forest.by_size(n)[1], quota, crowd, similarity):
+                for done in offers(ids, np.stack([s0, s1], axis=1).view(np.uint64), n, group, heads, split, forest.by_size(n)[1], quota, crowd, similarity, wide):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["a", "b", "more_a", "more_b"])
 
         most = TASK
@@ -366,9 +407,9 @@ def candidates(texts: DataFrame, forest: Forest, quota: int, crowd: int, similar
         if held and len(held[0]):
             yield from run(True)
 
-    top = max(0, min(forest.depth, 8))
-    rows = texts.select("id", "s0", "s1", "n", "class_id").mapInArrow(spread, "trie int, label long, id long, s0 long, s1 long, n int, class_id long")
-    parted = rows.repartition("trie", F.shiftright("label", 63 - top)).sortWithinPartitions("trie", "label", "id")
+    names = [x.split()[0] for x in kinds.split(", ")]
+    rows = texts.select(*names).mapInArrow(spread, "key long, " + kinds)
+    parted = rows.repartition(F.shiftright("key", LABEL - forest.depth)).sortWithinPartitions("key", "id")
     return parted.mapInArrow(compare, "a long, b long, more_a boolean, more_b boolean").groupBy("a", "b").agg(F.max("more_a").alias("more_a"), F.max("more_b").alias("more_b"))
 
 
@@ -381,11 +422,24 @@ def sets_and_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), pa.array(longer, pa.binary())], ["id", "grams", "sign"])
 
 
+def wide_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h0, wide) of (doc_id, text): the signature of further rounds."""
+    for b in slices(batches, most=1 << 16):
+        h0 = text_digests(b.column(1))[:, 0].view(np.int64)
+        wide = simhash(*shingle_sets(b.column(1)), WIDE)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h0), pa.array([x.tobytes() for x in wide], pa.binary())], ["id", "h0", "wide"])
+
+
 def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
     both = int(in_sorted(p, q).sum())
     return both > 0 and both >= similarity * (len(p) + len(q) - both) - 1e-9
 
 
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with one of the distinct ids."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets of word 5-grams are similar enough, by exact intersection.
 
@@ -393,9 +447,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, scratch: Scra
     of one of up to ``TOGETHER`` texts are sent to one task once, and all its pairs are
     verified there.  Pairs of larger components fetch their sets pair by pair.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    grams = scratch.written(docs.join(ids, "doc_id").mapInArrow(sets_and_signs, "id long, grams binary, sign binary"), "grams")
+    grams = scratch.written(with_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).mapInArrow(sets_and_signs, "id long, grams binary, sign binary"), "grams")
     limits = sift_limits(similarity)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,8 +498,8 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
     # Copies of one text meet here: the smallest id stands for them (partial minima come first, so many copies don't gather).
     stand = written(sketches.where("doc_id IS NOT NULL").groupBy("h0", "h1", "s0", "s1", "n").agg(F.min("doc_id").alias("id")), "texts")
     texts = stand.where("n > 0")
-    left, scale = texts.withColumn("class_id", F.col("id")), 1
-    tested = links = None
+    left, scale = texts, 1
+    tested = links = wide = None
     while True:
         forest = plan(left.count(), similarity, target, LEAF * scale)
         offered = written(candidates(left, forest, QUOTA * scale, CROWD * scale, similarity), "offers")
@@ -459,8 +511,11 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
         crowded = written(offered.where("more_a").select(F.col("a").alias("id")).union(offered.where("more_b").select("b")).distinct(), "crowded")
         if not crowded.limit(1).count():
             break
-        scale *= 8
-        left = written(texts.join(crowded, "id", "left_semi").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")), "left")
+        scale *= CLIMB
+        left = texts.join(crowded, "id", "left_semi").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        if wide is None:  # the texts of later rounds are among those of this one
+            wide = written(with_ids(docs, crowded.select(F.col("id").alias("doc_id"))).mapInArrow(wide_signs, "id long, h0 long, wide binary").dropDuplicates(["id", "h0"]), "wide")
+        left = written(left.join(wide, ["id", "h0"]), "left")
     known = sketches.select("doc_id", "h0", "h1").join(stand.select("h0", "h1", F.col("id").alias("own")), ["h0", "h1"], "left")
     own = known.join(classes.withColumnRenamed("id", "own"), "own", "left")
     result = lasting(own.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "own")).alias("class_id")), "classes")
