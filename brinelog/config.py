@@ -11,7 +11,7 @@ log = logging.getLogger("brinelog")
 PREFIX = "BRINELOG_"
 LEVELS = {"debug", "info", "warn", "error"}
 #: Accepted so that configuration files can be shared; Spark's own settings decide these things here.
-UNUSED = ("max_build_buffer_mb", "block_cache_mb", "cache_index_blocks", "max_open_files", "wal_fsync_every_n", "compaction_max_concurrent", "compaction_io_mb_per_s", "shutdown_timeout_ms", "stats_sampling_interval_ms", "doctor_bundle_max_mb")
+UNUSED = ("max_build_buffer_mb", "cache_index_blocks", "max_open_files", "compaction_max_concurrent", "shutdown_timeout_ms", "stats_sampling_interval_ms", "doctor_bundle_max_mb")
 
 
 @dataclass(frozen=True)

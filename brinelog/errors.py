@@ -40,4 +40,8 @@ class Backpressure(StoreError):
     """Too much is waiting to be flushed or compacted; try again later."""
 
 
+class Cancelled(Exception):
+    """A compaction was given up on request; nothing has failed."""
+
+
 CLASSES = [c.__name__ for c in (InvalidArgument, StoreClosed, IOFailure, CorruptionDetected, NotImplemented, Backpressure)]

@@ -24,6 +24,8 @@ def bloom_bits_of(key: Column, bits: Column, hashes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: F.pmod(one + i.cast("long") * two, bits))
 
 
-def probe_bits(have: Column, wanted: Column) -> Column:
-    """Whether a filter (array of set bits) may hold the key whose bits are wanted."""
-    return F.size(F.array_except(wanted, have)) == 0
+def md5_bits_of(key: Column, bits: Column, hashes: Column) -> Column:
+    """The same from two parts of an MD5 digest, for filters that other engines are to read as well."""
+    part = lambda at: F.conv(F.substring(F.md5(key.cast("binary")), at, 7), 16, 10).cast("long")
+    one, two = part(1), part(9).bitwiseOR(F.lit(1))
+    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: F.pmod(one + i.cast("long") * two, bits))

@@ -16,11 +16,6 @@ def iso_utc(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def created_seconds(text: Column) -> Column:
-    """Seconds of an ISO time in UTC; 0 where it can't be read."""
-    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))), F.lit(0)).cast("long")
-
-
 def record_crc(seqno: str = "seqno", key: str = "key", value: str = "value", tombstone: str = "tombstone") -> Column:
     """CRC-32 of a record's fields in a fixed text form."""
     kind = F.when(F.col(tombstone), "DEL").otherwise("PUT")

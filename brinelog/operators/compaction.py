@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .merge import newest_wins
+from .merge import bounded, newest_wins
 
 NO_SEQNO = 2**63 - 1
 
@@ -42,15 +42,15 @@ def manual_choice(manifest: DataFrame, asked: DataFrame) -> DataFrame:
     """For (case, id) lists: how many ids, how many are live, and whether they are neighbours; valid needs two or more, all live and adjacent."""
     order = Window.orderBy(F.desc("max_seqno"))
     placed = manifest.select("id", F.row_number().over(order).alias("pos"))
-    found = asked.join(F.broadcast(placed), "id", "left")
+    found = asked.join(F.broadcast(bounded(placed)), "id", "left")
     out = found.groupBy("case").agg(F.count("*").alias("n"), F.count("pos").alias("n_live"), (F.max("pos") - F.min("pos") + 1).cast("long").alias("span"))
     adjacent = F.coalesce((F.col("n_live") == F.col("n")) & (F.col("span") == F.col("n")), F.lit(False))
     return out.select("case", "n", "n_live", adjacent.alias("adjacent"), (adjacent & (F.col("n") >= 2)).alias("valid"))
 
 
 def merged(runs: DataFrame, ids: Sequence[int]) -> DataFrame:
-    """Newest version per key over some runs, delete markers included."""
-    return newest_wins(runs.where(F.col("run_id").isin(list(ids))).select("key", "value", "seqno", "tombstone", "run_id"))
+    """Newest version per key over some runs, delete markers included; runs share no sequence number."""
+    return newest_wins(runs.where(F.col("run_id").isin(list(ids))).select("key", "value", "seqno", "tombstone", "run_id"), unique=True)
 
 
 def droppable(seqno: Column, tombstone: Column, created: Column, now: int, grace: int, outside_min: Column) -> Column:
@@ -64,7 +64,7 @@ def tombstone_gc(runs: DataFrame, manifest: DataFrame, ids: Sequence[int], now:
     outside = manifest.where(~inside).agg(F.coalesce(F.min("min_seqno"), F.lit(NO_SEQNO)).alias("outside_min"))
     sources = manifest.where(inside).select(F.col("id").alias("source_run"), "created_at")
     rows = merged(runs, ids).withColumnRenamed("run_id", "source_run")
-    found = rows.join(F.broadcast(sources), "source_run", "left").join(F.broadcast(outside), F.lit(True))  # a row per input, one row
+    found = rows.join(F.broadcast(bounded(sources)), "source_run", "left").join(F.broadcast(outside), F.lit(True))  # a row per input, one row
     drop = droppable(F.col("seqno"), F.col("tombstone"), F.coalesce(F.col("created_at"), F.lit(now)), now, grace, F.col("outside_min"))
     return found.select("key", "value", "seqno", "tombstone", "source_run", drop.alias("dropped"))
 

@@ -59,9 +59,24 @@ def _cuts(batches: Iterator[pa.RecordBatch], limit: int, header: int, before: bo
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in piece], names)
 
 
-def _fold(rows: DataFrame, grp: Column, at: str, size: Column, limit: int, header: int, before: bool) -> DataFrame:
-    narrow = rows.select(grp.cast("long").alias("grp"), F.col(at).cast("long").alias("at"), size.cast("long").alias("bytes"))
-    return narrow.repartition("grp").sortWithinPartitions("grp", "at").mapInArrow(lambda it: _cuts(it, limit, header, before), CUT)
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, at, bytes) with the place within its group, from 1, instead of ``at``."""
+    last, count = None, 0
+    for b in batches:
+        if b.num_rows:
+            grp = b.column(0).to_numpy()
+            heads = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
+            place = np.arange(1, len(grp) + 1) - np.repeat(heads, np.diff(np.append(heads, len(grp))))
+            if grp[0] == last:
+                place[: heads[1] if len(heads) > 1 else None] += count
+            last, count = grp[-1], int(place[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(place), b.column(2)], ["grp", "at", "bytes"])
+
+
+def _fold(rows: DataFrame, grp: Column, at: str, size: Column, limit: int, header: int, before: bool, places: bool = False) -> DataFrame:
+    narrow = rows.select(grp.cast("long").alias("grp"), F.col(at).alias("at") if places else F.col(at).cast("long").alias("at"), size.cast("long").alias("bytes"))
+    ordered = narrow.repartition("grp").sortWithinPartitions("grp", "at")
+    return ordered.mapInArrow(lambda it: _cuts(_numbered(it) if places else it, limit, header, before), CUT)
 
 
 def wal_segments(log: DataFrame, record_size: Column, roll_bytes: int, header: int = 8) -> DataFrame:
@@ -110,9 +125,7 @@ def overwriting_rotations(log: DataFrame, max_bytes: int, slot: int = 32) -> Dat
 
 def block_layout(runs: DataFrame, entry_size: Column, block_size: int) -> DataFrame:
     """Blocks of each sorted run: one is closed once it holds ``block_size``.  Runs are laid out in parallel."""
-    order = Window.partitionBy("run_id").orderBy("key")
-    rows = runs.withColumn("place", F.row_number().over(order))
-    cut = _fold(rows, F.col("run_id"), "place", entry_size, block_size, 0, False)
+    cut = _fold(runs, F.col("run_id"), "key", entry_size, block_size, 0, False, places=True)
     return cut.select(F.col("grp").alias("run_id"), F.col("piece").alias("block"), F.col("first_at").alias("first_place"), F.col("n").alias("entries"), "bytes")
 
 
@@ -125,7 +138,7 @@ def restart_points(runs: DataFrame, interval: int = 16) -> DataFrame:
 
 def seek(points: DataFrame, wanted: DataFrame) -> DataFrame:
     """(run_id, wanted, seek_key): the last restart point at or before each wanted key in each run, by one ordered pass per run."""
-    asked = points.select("run_id").distinct().join(F.broadcast(wanted.agg(F.collect_set("key").alias("keys"))), F.lit(True)).select("run_id", F.explode("keys").alias("key"))
+    asked = points.select("run_id").distinct().join(wanted.select("key").distinct(), F.lit(True))
     both = points.select("run_id", "key", F.lit(0).alias("kind")).unionByName(asked.withColumn("kind", F.lit(1)))
     order = Window.partitionBy("run_id").orderBy("key", "kind")
     found = both.withColumn("seek_key", F.last(F.when(F.col("kind") == 0, F.col("key")), ignorenulls=True).over(order))

@@ -9,15 +9,32 @@ from ..errors import CLASSES
 
 #: Metric name -> (kind, column of the one-row statistics).
 METRICS = {
-    "lsm_epoch_current": ("gauge", "epoch"),
-    "lsm_errors_total": ("counter", "errors"),
+    "lsm_writes_total": ("counter", "writes"),
+    "lsm_wal_appends_total": ("counter", "writes"),
+    "lsm_wal_active_segment_bytes": ("gauge", "wal_active_segment_bytes"),
+    "lsm_wal_segments_total": ("gauge", "wal_segments"),
     "lsm_memtable_active_bytes": ("gauge", "active_bytes"),
     "lsm_memtable_active_entries": ("gauge", "active_entries"),
-    "lsm_sst_live_total": ("gauge", "sst_live"),
-    "lsm_sst_bytes_total": ("gauge", "sst_total_bytes"),
+    "lsm_memtables_immutable": ("gauge", "immutables"),
+    "lsm_flush_jobs_total": ("counter", "flushes"),
+    "lsm_sst_created_total": ("counter", "flushes"),
+    "lsm_sst_bytes_written_total": ("counter", "bytes_written"),
+    "lsm_reads_total": ("counter", "reads"),
+    "lsm_read_hit_memtable_total": ("counter", "memory_hits"),
+    "lsm_read_sstable_consulted_total": ("counter", "runs_consulted"),
+    "lsm_bloom_checks_total": ("counter", "blooms_checked"),
+    "lsm_bloom_negative_total": ("counter", "blooms_negative"),
+    "lsm_block_cache_hits_total": ("counter", "cache_hits"),
+    "lsm_block_cache_misses_total": ("counter", "cache_misses"),
+    "lsm_disk_block_reads_total": ("counter", "disk_block_reads"),
+    "lsm_compaction_jobs_total": ("counter", "compactions"),
+    "lsm_compaction_bytes_in_total": ("counter", "compaction_bytes_in"),
+    "lsm_compaction_bytes_out_total": ("counter", "compaction_bytes_out"),
     "lsm_compaction_backlog_bytes": ("gauge", "compaction_backlog_bytes"),
-    "lsm_wal_segments_total": ("gauge", "wal_segments"),
-    "lsm_writes_total": ("counter", "last_seqno"),
+    "lsm_versions_published_total": ("counter", "versions"),
+    "lsm_epoch_current": ("gauge", "epoch"),
+    "lsm_sst_live_total": ("gauge", "sst_live"),
+    "lsm_write_stalls_total": ("counter", "stalls"),
 }
 
 
@@ -56,11 +73,14 @@ def error_counts(spark: SparkSession, errors: DataFrame) -> DataFrame:
     return kinds.join(errors.groupBy("type").agg(F.count("*").alias("n")), "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def as_metrics(stats: DataFrame) -> DataFrame:
-    """(name, kind, value) rows of a one-row table of statistics."""
+def as_metrics(stats: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """(name, kind, value) rows of a one-row table of statistics, and of the error counts (type, n), whose type becomes a label."""
     known = [(name, kind, c) for name, (kind, c) in METRICS.items() if c in stats.columns]
     rows = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.col(c).cast("long").alias("value")) for n, k, c in known))
-    return stats.select(F.explode(rows).alias("m")).select("m.*")
+    out = stats.select(F.explode(rows).alias("m")).select("m.*")
+    if errors is None:
+        return out
+    return out.unionByName(errors.select(F.format_string('lsm_errors_total{type="%s"}', "type").alias("name"), F.lit("counter").alias("kind"), F.col("n").cast("long").alias("value")))
 
 
 def stall_state(loads: DataFrame, max_immutable: int = 4, stop_writes: int = 20) -> DataFrame:

@@ -93,10 +93,26 @@ LOG = """
         SELECT memtable + 1, last_seqno + 1, (SELECT coalesce(min(seqno) FILTER (WHERE upto - (SELECT upto FROM filling z WHERE z.seqno = r.last_seqno) >= 65536), max(seqno)) FROM filling WHERE seqno > r.last_seqno)
         FROM rotated r WHERE last_seqno < (SELECT max(seqno) FROM filling)
     ),
+    sources AS (SELECT key, max(run_id) AS source_run FROM runs GROUP BY key),
+    sized AS (SELECT run_id, CAST(greatest(64, ceil(count(*) * -ln(0.01) / (ln(2) * ln(2)))) AS BIGINT) AS m FROM runs GROUP BY run_id),
+    filled AS (SELECT DISTINCT run_id, (CAST('0x' || substr(md5(key), 1, 7) AS BIGINT) + i * (CAST('0x' || substr(md5(key), 9, 7) AS BIGINT) | 1)) % m AS bit FROM runs JOIN sized USING (run_id), range(7) t(i)),
+    probing AS (
+        SELECT w.key, id AS run_id, false AS absent FROM wanted w LEFT JOIN sources USING (key) JOIN manifest ON w.key BETWEEN min_key AND max_key AND (source_run IS NULL OR id >= source_run)
+        UNION ALL SELECT 'user:' || i || 'x', id, true FROM range(1000) t(i) JOIN manifest ON 'user:' || i || 'x' BETWEEN min_key AND max_key
+    ),
+    passed AS (
+        SELECT p.key, p.run_id, absent, bool_and(f.bit IS NOT NULL) AS may
+        FROM (SELECT key, run_id, absent, (CAST('0x' || substr(md5(key), 1, 7) AS BIGINT) + i * (CAST('0x' || substr(md5(key), 9, 7) AS BIGINT) | 1)) % m AS bit FROM probing JOIN sized USING (run_id), range(7) t(i)) p LEFT JOIN filled f ON f.run_id = p.run_id AND f.bit = p.bit GROUP BY ALL
+    ),
     stat AS (
-        SELECT * FROM (SELECT count(*) AS active_entries, CAST(sum(32 + strlen(key) + strlen(value)) AS BIGINT) AS active_bytes FROM runs WHERE run_id = 10),
+        SELECT *, sst_live AS epoch, sst_live + 1 AS version_id, CAST(0 AS BIGINT) AS none, CASE WHEN disk_block_reads > 0 THEN 0.5 ELSE 0 END AS block_cache_hit_rate
+        FROM (SELECT count(*) AS active_entries, CAST(sum(32 + strlen(key) + strlen(value)) AS BIGINT) AS active_bytes FROM runs WHERE run_id = 10),
             (SELECT count(*) AS sst_live, CAST(sum(file_size) AS BIGINT) AS sst_total_bytes, max(max_seqno) AS last_seqno FROM manifest),
-            (SELECT coalesce(max(total), 0) AS compaction_backlog_bytes FROM picked), (SELECT count(DISTINCT run_id) AS wal_segments FROM log)
+            (SELECT coalesce(max(total), 0) AS compaction_backlog_bytes FROM picked),
+            (SELECT count(DISTINCT run_id) AS wal_segments, CAST(8 + sum(25 + strlen(key) + strlen(value)) FILTER (WHERE run_id = 10) AS BIGINT) AS wal_active_segment_bytes, count(*) AS writes FROM log),
+            (SELECT 2 * count(*) AS blooms_checked, 2 * count(*) FILTER (WHERE NOT may) AS blooms_negative, count(*) FILTER (WHERE may) AS disk_block_reads FROM passed WHERE NOT absent),
+            (SELECT 2 * count(*) AS runs_consulted FROM wanted LEFT JOIN sources USING (key) JOIN manifest ON source_run IS NULL OR id >= source_run),
+            (SELECT 2 * count(*) AS reads FROM wanted)
     )
 """
 
@@ -116,7 +132,7 @@ SQL: dict[str, str] = {
         "multi_get": "SELECT w.key, l.value, l.key IS NOT NULL AS found FROM wanted w LEFT JOIN (SELECT * FROM latest WHERE NOT tombstone) l ON l.key = w.key",
         "get_absent": "SELECT count(*) AS probed, count(l.key) AS found FROM range(1000) t(i) LEFT JOIN latest l ON l.key = 'absent-' || i AND NOT l.tombstone",
         "get_as_of_seqno": "SELECT key, arg_max(value, seqno) AS value, max(seqno) AS seqno FROM log WHERE seqno <= (SELECT count(*) // 2 FROM log) GROUP BY key HAVING NOT arg_max(tombstone, seqno)",
-        "range_scan": "SELECT key, value FROM latest WHERE NOT tombstone AND key BETWEEN 'user:1' AND 'user:5' ORDER BY key LIMIT 20",
+        "range_scan": "SELECT key, value FROM latest WHERE NOT tombstone AND key BETWEEN 'user:1' AND 'user:5'",
         "key_history": "SELECT key, count(*) AS versions, count(*) FILTER (WHERE tombstone) AS deletes, min(seqno) AS first_seqno, max(seqno) AS last_seqno FROM log GROUP BY key",
         "run_op_rollup": "SELECT run_id, op, count(*) AS n, CAST(sum(25 + strlen(key) + strlen(value)) AS BIGINT) AS bytes FROM (SELECT *, CASE WHEN tombstone THEN 'DEL' ELSE 'PUT' END AS op FROM log) GROUP BY ROLLUP (run_id, op)",
         "get_trace": "SELECT * FROM trace",
@@ -158,8 +174,13 @@ SQL: dict[str, str] = {
         "wal_seqno_monotonic": "SELECT count(*) FILTER (WHERE before >= seqno) AS violations FROM (SELECT seqno, lag(seqno) OVER (ORDER BY segment, \"offset\") AS before FROM seg)",
         "run_ranges_disjoint": "SELECT id, next_id FROM (SELECT id, min_seqno, lead(max_seqno) OVER w AS m, lead(id) OVER w AS next_id FROM manifest WINDOW w AS (ORDER BY max_seqno DESC)) WHERE m >= min_seqno",
         "seqno_source_run": "SELECT key, seqno, id AS source_run FROM latest JOIN manifest ON seqno BETWEEN min_seqno AND max_seqno",
-        "engine_stats": "SELECT * FROM stat",
-        "prometheus_export": "SELECT name, kind, value FROM (SELECT unnest([('lsm_memtable_active_bytes', 'gauge', active_bytes), ('lsm_memtable_active_entries', 'gauge', active_entries), ('lsm_sst_live_total', 'gauge', sst_live), ('lsm_sst_bytes_total', 'gauge', sst_total_bytes), ('lsm_compaction_backlog_bytes', 'gauge', compaction_backlog_bytes), ('lsm_wal_segments_total', 'gauge', wal_segments), ('lsm_writes_total', 'counter', last_seqno)]::STRUCT(name VARCHAR, kind VARCHAR, value BIGINT)[], recursive := true) FROM stat)",
+        "engine_stats": "SELECT epoch, version_id, last_seqno, active_bytes, active_entries, none AS immutables, none AS immutables_bytes, sst_live, sst_total_bytes, block_cache_hit_rate, disk_block_reads, blooms_checked, blooms_negative, compaction_backlog_bytes, none AS jobs_running, wal_segments, wal_active_segment_bytes FROM stat",
+        "prometheus_export": """
+            SELECT r[1] AS name, r[2] AS kind, r[3] AS value FROM (SELECT unnest([('lsm_writes_total', 'counter', CAST(writes AS BIGINT)), ('lsm_wal_appends_total', 'counter', CAST(writes AS BIGINT)), ('lsm_wal_active_segment_bytes', 'gauge', CAST(wal_active_segment_bytes AS BIGINT)), ('lsm_wal_segments_total', 'gauge', CAST(wal_segments AS BIGINT)), ('lsm_memtable_active_bytes', 'gauge', CAST(active_bytes AS BIGINT)), ('lsm_memtable_active_entries', 'gauge', CAST(active_entries AS BIGINT)), ('lsm_memtables_immutable', 'gauge', CAST(none AS BIGINT)), ('lsm_flush_jobs_total', 'counter', CAST(sst_live AS BIGINT)), ('lsm_sst_created_total', 'counter', CAST(sst_live AS BIGINT)), ('lsm_sst_bytes_written_total', 'counter', CAST(sst_total_bytes AS BIGINT)), ('lsm_reads_total', 'counter', CAST(reads AS BIGINT)), ('lsm_read_hit_memtable_total', 'counter', CAST(none AS BIGINT)), ('lsm_read_sstable_consulted_total', 'counter', CAST(runs_consulted AS BIGINT)), ('lsm_bloom_checks_total', 'counter', CAST(blooms_checked AS BIGINT)), ('lsm_bloom_negative_total', 'counter', CAST(blooms_negative AS BIGINT)), ('lsm_block_cache_hits_total', 'counter', CAST(disk_block_reads AS BIGINT)), ('lsm_block_cache_misses_total', 'counter', CAST(disk_block_reads AS BIGINT)), ('lsm_disk_block_reads_total', 'counter', CAST(disk_block_reads AS BIGINT)), ('lsm_compaction_jobs_total', 'counter', CAST(none AS BIGINT)), ('lsm_compaction_bytes_in_total', 'counter', CAST(none AS BIGINT)), ('lsm_compaction_bytes_out_total', 'counter', CAST(none AS BIGINT)), ('lsm_compaction_backlog_bytes', 'gauge', CAST(compaction_backlog_bytes AS BIGINT)), ('lsm_versions_published_total', 'counter', CAST(sst_live AS BIGINT)), ('lsm_epoch_current', 'gauge', CAST(epoch AS BIGINT)), ('lsm_sst_live_total', 'gauge', CAST(sst_live AS BIGINT)), ('lsm_write_stalls_total', 'counter', CAST(none AS BIGINT))]) AS r FROM stat)
+            UNION ALL SELECT 'lsm_errors_total{type="' || t || '"}', 'counter', coalesce(n, 0) FROM (SELECT unnest(['InvalidArgument', 'StoreClosed', 'IOFailure', 'CorruptionDetected', 'NotImplemented', 'Backpressure']) AS t)
+            LEFT JOIN (SELECT ['InvalidArgument', 'IOFailure', 'Backpressure'][user_id % 3 + 1] AS t, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) USING (t)
+        """,
+        "bloom_negative_ratio": "SELECT run_id, count(*) AS checked, count(*) FILTER (WHERE NOT may) AS negative FROM passed WHERE absent GROUP BY run_id",
     }.items()
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bloom_bits_of, bloom_params, entry_bytes, file_name, iso_utc, memtable_bytes, record_bytes, record_crc
+from ..functions import bloom_bits_of, bloom_params, entry_bytes, file_name, iso_utc, md5_bits_of, memtable_bytes, record_bytes, record_crc
 from ..operators import compaction, folds, merge, stats, wal
 from ..sources.logs import events_log, flushed, orders_log, table
 
@@ -18,6 +19,14 @@ QUERIES: dict[str, Query] = {}
 HOUR, NOW, GRACE = 3600, 20 * 3600, 17 * 3600
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local one only where there is one machine, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or tempfile.mkdtemp(prefix="brinelog-")
+
+
 def query(f: Query) -> Query:
     QUERIES[f.__name__] = f
     return f
@@ -43,19 +52,30 @@ def wanted_keys(spark: SparkSession) -> DataFrame:
 
 
 def segments_of(spark: SparkSession, d: str) -> DataFrame:
-    """The log in ten segments; every 997th record is damaged."""
+    """The log in ten segments as it was framed, every 997th record with a damaged checksum, kind or length."""
     log = events_log(spark, d)
-    return log.select(F.col("run_id").alias("segment"), F.col("seqno").alias("offset"), "seqno", "key", "value", "tombstone", (F.pmod("seqno", F.lit(997)) != 0).alias("valid"))
+    damage = F.when(F.pmod("seqno", F.lit(997)) == 0, F.pmod(F.floor(F.col("seqno") / 997), F.lit(4))).otherwise(-1)
+    kind, n_key, n_value = F.when(F.col("tombstone"), 2).otherwise(1), F.octet_length("key"), F.octet_length("value")
+    framed = log.withColumn("damage", damage).select(
+        F.col("run_id").alias("segment"), F.col("seqno").alias("offset"), "seqno", "key", "value", "tombstone",
+        (17 + n_key + n_value + F.when(F.col("damage") == 0, 1).otherwise(0)).alias("payload_len"),
+        (record_crc() + F.when(F.col("damage") == 1, 1).otherwise(0)).alias("crc"),
+        F.when(F.col("damage") == 2, 3).otherwise(kind).alias("kind"),
+        F.when(F.col("damage") == 3, n_key + 1).otherwise(n_key).alias("n_key"),
+        n_value.alias("n_value"),
+    )
+    valid = wal.record_valid(F.col("payload_len"), F.col("crc") == record_crc(), F.col("kind"), F.col("n_key"), F.col("n_value"))
+    return framed.select("segment", "offset", "seqno", "key", "value", "tombstone", valid.alias("valid"))
 
 
 @query
 def latest_versions(spark: SparkSession, d: str) -> DataFrame:
-    return merge.newest_wins(events_log(spark, d).drop("run_id")).select("key", "value", "seqno", "tombstone")
+    return merge.newest_wins(events_log(spark, d).drop("run_id"), unique=True).select("key", "value", "seqno", "tombstone")
 
 
 @query
 def live_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return merge.live(events_log(spark, d)).select("key", "value", "seqno")
+    return merge.live(events_log(spark, d), True).select("key", "value", "seqno")
 
 
 @query
@@ -63,7 +83,7 @@ def snapshot_over_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs below, the newest tenth of the log still in memory on top."""
     log = events_log(spark, d)
     cols = ["key", "value", "seqno", "tombstone"]
-    return merge.live(flushed(log.where("run_id < 10")).select(*cols).unionByName(log.where("run_id = 10").select(*cols))).select("key", "value", "seqno")
+    return merge.live(flushed(log.where("run_id < 10")).select(*cols).unionByName(log.where("run_id = 10").select(*cols)), True).select("key", "value", "seqno")
 
 
 @query
@@ -76,30 +96,30 @@ def lineitem_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def point_get(spark: SparkSession, d: str) -> DataFrame:
-    return merge.live(merge.point_get(events_log(spark, d), "user:7")).select("key", "value", "seqno")
+    return merge.live(merge.point_get(events_log(spark, d), "user:7"), True).select("key", "value", "seqno")
 
 
 @query
 def multi_get(spark: SparkSession, d: str) -> DataFrame:
-    return merge.multi_get(merge.live(events_log(spark, d)), wanted_keys(spark))
+    return merge.multi_get(events_log(spark, d), wanted_keys(spark), True)
 
 
 @query
 def get_absent(spark: SparkSession, d: str) -> DataFrame:
     absent = spark.range(1000).select(F.concat(F.lit("absent-"), F.col("id").cast("string")).alias("key"))
-    found = merge.multi_get(merge.live(events_log(spark, d)), absent)
+    found = merge.multi_get(events_log(spark, d), absent, True)
     return found.agg(F.count("*").alias("probed"), F.count_if("found").alias("found"))
 
 
 @query
 def get_as_of_seqno(spark: SparkSession, d: str) -> DataFrame:
     log = events_log(spark, d)
-    return merge.as_of(log, log.count() // 2).select("key", "value", "seqno")
+    return merge.as_of(log, log.count() // 2, True).select("key", "value", "seqno")
 
 
 @query
 def range_scan(spark: SparkSession, d: str) -> DataFrame:
-    return merge.range_scan(merge.live(events_log(spark, d)), "user:1", "user:5", 20).select("key", "value")
+    return merge.range_scan(merge.live(events_log(spark, d), True), "user:1", "user:5").select("key", "value")
 
 
 @query
@@ -122,7 +142,7 @@ def get_trace(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def memtable_stats(spark: SparkSession, d: str) -> DataFrame:
-    return stats.memtable_stats(merge.newest_wins(events_log(spark, d)), memtable_bytes())
+    return stats.memtable_stats(merge.newest_wins(events_log(spark, d), unique=True), memtable_bytes())
 
 
 @query
@@ -160,6 +180,26 @@ def bloom_no_false_negative(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("run_id").agg(F.count("*").alias("probed"), F.count_if(F.col("got") < F.col("need")).alias("false_negatives"))
 
 
+def _passed(runs: DataFrame, probed: DataFrame) -> DataFrame:
+    """(key, run_id, may): whether the run's explicit Bloom filter (by MD5) lets each probe pass."""
+    sized = runs.groupBy("run_id").agg(F.count("*").alias("entries"))
+    p = bloom_params(F.col("entries"))
+    sized = sized.select("run_id", p["bits"].alias("bits"), p["hashes"].alias("hashes"))
+    bit = F.explode(F.array_distinct(md5_bits_of(F.col("key"), F.col("bits"), F.col("hashes")))).alias("bit")
+    have = runs.join(sized, "run_id").select("run_id", bit).distinct().withColumn("set", F.lit(1))
+    asked = probed.select("key", "run_id").join(sized, "run_id").select("key", "run_id", bit)
+    return asked.join(have, ["run_id", "bit"], "left").groupBy("key", "run_id").agg((F.count("set") == F.count("*")).alias("may"))
+
+
+@query
+def bloom_negative_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are nowhere: how many filters are asked, and how many rule the key out."""
+    runs = runs_of(spark, d)
+    absent = spark.range(1000).select(F.concat(F.lit("user:"), F.col("id").cast("string"), F.lit("x")).alias("key"))
+    passed = _passed(runs, merge.probes(runs, manifest_of(runs), absent))
+    return passed.groupBy("run_id").agg(F.count("*").alias("checked"), F.count_if(~F.col("may")).alias("negative"))
+
+
 @query
 def flush_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs_of(spark, d).select("run_id", "key", "value", "seqno", "tombstone")
@@ -335,7 +375,7 @@ def run_ranges_disjoint(spark: SparkSession, d: str) -> DataFrame:
 def seqno_source_run(spark: SparkSession, d: str) -> DataFrame:
     """Which run each newest version lies in, by seqno range."""
     runs = runs_of(spark, d)
-    return merge.source_runs(merge.newest_wins(runs.drop("run_id")), manifest_of(runs))
+    return merge.source_runs(merge.newest_wins(runs.drop("run_id"), unique=True), manifest_of(runs))
 
 
 @query
@@ -356,21 +396,43 @@ def error_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.error_counts(spark, errors)
 
 
-@query
-def engine_stats(spark: SparkSession, d: str) -> DataFrame:
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    """One row: a store that wrote the whole log, flushed it in ten runs, compacted none, keeps the newest tenth in memory too, and read every wanted key from its runs twice."""
     log = events_log(spark, d)
     runs = flushed(log)
     manifest = manifest_of(runs)
-    memory = stats.memtable_stats(merge.newest_wins(log.where("run_id = 10")), memtable_bytes()).select(F.col("entries").alias("active_entries"), F.col("bytes").alias("active_bytes"))
+    memory = stats.memtable_stats(merge.newest_wins(log.where("run_id = 10"), unique=True), memtable_bytes()).select(F.col("entries").alias("active_entries"), F.col("bytes").alias("active_bytes"))
     totals = stats.manifest_totals(manifest).select(F.col("runs").alias("sst_live"), F.col("total_bytes").alias("sst_total_bytes"), F.col("max_seqno").alias("last_seqno"))
     backlog = compaction.picker_choice(manifest).agg(F.coalesce(F.max("total"), F.lit(0)).alias("compaction_backlog_bytes"))
-    segments = log.agg(F.count_distinct("run_id").alias("wal_segments"))
-    return memory.join(totals, F.lit(True)).join(backlog, F.lit(True)).join(segments, F.lit(True))  # one row each
+    segments = log.agg(F.count_distinct("run_id").alias("wal_segments"), (F.sum(F.when(F.col("run_id") == 10, record_bytes())) + 8).alias("wal_active_segment_bytes"), F.count("*").alias("writes"))
+    wanted = wanted_keys(spark)
+    probed = merge.probes(runs, manifest, wanted).join(_passed(runs, merge.probes(runs, manifest, wanted)), ["key", "run_id"])
+    looked = probed.agg((2 * F.count("*")).alias("blooms_checked"), (2 * F.count_if(~F.col("may"))).alias("blooms_negative"), F.count_if("may").alias("disk_block_reads"))
+    where = runs.groupBy("key").agg(F.max("run_id").alias("source_run"))
+    consulted = wanted.join(where, "key", "left").join(merge.ranges_row(manifest), F.lit(True)).agg(
+        (2 * F.sum(F.size(F.filter("ranges", lambda r: F.col("source_run").isNull() | (r["id"] >= F.col("source_run")))))).alias("runs_consulted"), (2 * F.count("*")).alias("reads")
+    )
+    one = memory
+    for row in (totals, backlog, segments, looked, consulted):  # one row each
+        one = one.join(row, F.lit(True))
+    zero = dict.fromkeys(("immutables", "immutables_bytes", "jobs_running", "memory_hits", "compactions", "compaction_bytes_in", "compaction_bytes_out", "stalls"), F.lit(0).cast("long"))
+    same = {"epoch": "sst_live", "flushes": "sst_live", "versions": "sst_live", "bytes_written": "sst_total_bytes", "cache_hits": "disk_block_reads", "cache_misses": "disk_block_reads"}
+    one = one.withColumns(zero | {k: F.col(v).cast("long") for k, v in same.items()})
+    lookups = (F.col("cache_hits") + F.col("cache_misses")).cast("double")
+    return one.withColumn("version_id", F.col("epoch") + 1).withColumn("block_cache_hit_rate", stats.ratio(F.col("cache_hits").cast("double"), lookups))
+
+
+STATS = ["epoch", "version_id", "last_seqno", "active_bytes", "active_entries", "immutables", "immutables_bytes", "sst_live", "sst_total_bytes", "block_cache_hit_rate", "disk_block_reads", "blooms_checked", "blooms_negative", "compaction_backlog_bytes", "jobs_running", "wal_segments", "wal_active_segment_bytes"]
+
+
+@query
+def engine_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _stats(spark, d).select(*STATS)
 
 
 @query
 def prometheus_export(spark: SparkSession, d: str) -> DataFrame:
-    return stats.as_metrics(engine_stats(spark, d))
+    return stats.as_metrics(_stats(spark, d), error_counts(spark, d))
 
 
 @query
@@ -378,7 +440,6 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     """The newest versions again, kept by a streaming query over the events file."""
     from ..streaming import latest_stream
 
-    name = f"latest_{abs(hash(d)) % 10**8}"
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
     gone = F.col("event_type") == "error"
@@ -388,7 +449,6 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
         F.when(gone, "").otherwise(F.concat("event_type", F.lit(":"), F.col("event_id").cast("string"))).alias("value"),
         gone.alias("tombstone"),
     )
-    shared = spark.conf.get("spark.checkpoint.dir", None)  # a local folder only where no shared one is named, as in tests
-    running = latest_stream(log, name, f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="brinelog-stream-"))
-    running.awaitTermination()
-    return spark.table(name).select("key", "value", "seqno", "tombstone")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    latest_stream(log, f"{folder}/latest", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/latest").select("key", "value", "seqno", "tombstone")

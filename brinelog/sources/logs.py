@@ -39,4 +39,4 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flushed(log: DataFrame) -> DataFrame:
     """Runs of a log with ``run_id``: the newest version of each key in each run, deletes included."""
-    return newest_wins(log, ("run_id", "key"))
+    return newest_wins(log, ("run_id", "key"), unique=True)

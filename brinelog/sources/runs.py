@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CorruptionDetected, IOFailure
 from ..schemas import ENTRY
 
+FILTER = "_keys.bloom"
 CHECKSUMS = "parquet.page.verify-checksum.enabled"
 
 
@@ -29,6 +35,27 @@ def write_run(rows: DataFrame, path: str, entries: int, false_positive: float =
         raise IOFailure(f"run {path} can't be written: {str(e)[:200]}") from e
 
 
+def write_filter(rows: DataFrame, path: str, entries: int, false_positive: float) -> None:
+    """The Bloom filter of a run's keys for readers on the driver, merged from the executors' parts; Spark passes over its name."""
+    sketch = rows._jdf.stat().bloomFilter("key", max(1, entries), float(false_positive))
+    stream = rows.sparkSession._jvm.java.io.FileOutputStream(os.path.join(path, FILTER))
+    try:
+        sketch.writeTo(stream)
+    finally:
+        stream.close()
+
+
+def read_filter(spark: SparkSession, path: str) -> object:
+    try:
+        stream = spark._jvm.java.io.FileInputStream(os.path.join(path, FILTER))
+        try:
+            return spark._jvm.org.apache.spark.util.sketch.BloomFilter.readFrom(stream)
+        finally:
+            stream.close()
+    except Py4JJavaError as e:
+        raise CorruptionDetected(f"run {path}: its filter can't be read") from e
+
+
 def read_runs(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
     """All rows of some runs with their ``run_id``; keys pushed down to it skip row groups by range and Bloom filter."""
     if not paths:
@@ -46,6 +73,16 @@ def inspect_run(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("file", "bytes").agg(F.count("*").alias("entries"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seqno").alias("min_seqno"), F.max("seqno").alias("max_seqno"), F.count_if("tombstone").alias("tombstones"))
 
 
+def check_footers(path: str, entries: int) -> None:
+    """Whether all files of a run end as Parquet files do, and hold as many entries as the manifest says."""
+    try:
+        found = sum(pq.read_metadata(os.path.join(path, n)).num_rows for n in os.listdir(path) if n.endswith(".parquet"))
+    except (OSError, pa.ArrowException) as e:
+        raise CorruptionDetected(f"run {path}: {str(e)[:200]}") from e
+    if found != entries:
+        raise CorruptionDetected(f"run {path}: {found} entries in footers, the manifest says {entries}")
+
+
 def verify_run(spark: SparkSession, path: str) -> int:
     """Read every page of a run against its checksum and check that keys are unique; gives the number of entries."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
