@@ -33,6 +33,8 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 STEPS = 40
+#: Weight of the prior rates of a rule, as a share of all documents (and ten documents more).
+PRIOR = 0.01
 RULES = ("length", "symbols", "symbol_share", "symbol_kinds", "dup_lines", "repeats", "word_size", "line_words", "stops", "digits")
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stops", "n_digits", "n_symbol_kinds"]
 
@@ -112,14 +114,16 @@ def fit(votes: DataFrame, steps: int = STEPS) -> dict[str, list[float]]:
     logit = f"{prior} + aggregate(transform(t.votes, (v, j) -> {weight}), 0D, (s, x) -> s + x)"
     good = f"transform(h, t -> named_struct('votes', t.votes, 'n', t.n, 'q', 1 / (1 + exp(-({logit})))))"
 
-    def rate(of: str, start: float, least: float, most: float) -> str:
-        """Bad votes among the votes of each rule, weighted; ten documents at the start's rate smooth rules that hardly vote."""
-        bad = f"aggregate(w, {10 * start}D, (s, t) -> s + CASE WHEN get(t.votes, j) = -1 THEN t.n * {of} ELSE 0D END)"
-        cast = f"aggregate(w, 10D, (s, t) -> s + CASE WHEN get(t.votes, j) <> 0 THEN t.n * {of} ELSE 0D END)"
-        return f"transform(sequence(0, {m - 1}), j -> least(greatest({bad} / {cast}, {least}D), {most}D))"
+    weight_of_prior = f"aggregate(w, 10D, (s, t) -> s + {PRIOR}D * t.n)"
 
-    share = "least(greatest(aggregate(w, 9D, (s, t) -> s + t.n * t.q) / aggregate(w, 10D, (s, t) -> s + t.n), 0.05D), 0.999D)"
-    fresh = f"named_struct('share', {share}, 'on_good', {rate('t.q', 0.02, 0.0005, 0.1)}, 'on_bad', {rate('(1 - t.q)', 0.4, 0.3, 0.99)})"
+    def rate(of: str, start: float) -> str:
+        """Bad votes among the votes of each rule, weighted, with a prior at the start's rate."""
+        bad = f"aggregate(w, {start}D * {weight_of_prior}, (s, t) -> s + CASE WHEN get(t.votes, j) = -1 THEN t.n * {of} ELSE 0D END)"
+        cast = f"aggregate(w, {weight_of_prior}, (s, t) -> s + CASE WHEN get(t.votes, j) <> 0 THEN t.n * {of} ELSE 0D END)"
+        return f"transform(sequence(0, {m - 1}), j -> {bad} / {cast})"
+
+    share = "aggregate(w, 9D, (s, t) -> s + t.n * t.q) / aggregate(w, 10D, (s, t) -> s + t.n)"
+    fresh = f"named_struct('share', {share}, 'on_good', {rate('t.q', 0.02)}, 'on_bad', {rate('(1 - t.q)', 0.4)})"
     step = f"get(transform(array({good}), w -> {fresh}), 0)"
     p = histogram.select(F.expr(f"aggregate(sequence(1, {int(steps)}), {start}, (p, k) -> {step})").alias("p")).first()["p"]
     return {"share": [p["share"]], "on_good": list(p["on_good"]), "on_bad": list(p["on_bad"])}
