@@ -35,6 +35,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = table(spark, sf_dir, "documents").select("doc_id", F.lit("insert").alias("op"), "text", "source", "lang")
     ledger.commit("load", changes, path, version)
     ledger.commit("load", changes, path, version)
+    ledger.compact()
     known = changes.where("doc_id IS NOT NULL")
     half = F.expr("substring(text, 1, char_length(text) div 2)")
     ledger.commit("revise", known.withColumn("op", F.lit("revise")).withColumn("text", half), path, version)

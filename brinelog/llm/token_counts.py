@@ -8,7 +8,9 @@ delta: additive totals by source, language and tokenizer version.  A batch is
 written under a temporary name and becomes visible by one rename, and a batch
 id that is already there is left alone, so a batch may be sent any number of
 times.  Totals are the sums of the deltas; ``compact`` adds them up once into a
-snapshot that names the batches it holds.
+snapshot that names the batches it holds, together with the rows that are live then, so that later
+commits and totals read the snapshot and the batches after it only.  A ledger has one writer at a time: a commit that finds
+another batch committed since it began is given up, and may be sent again.
 
 Defined results: null text has 0 tokens; null source or language is a group of
 its own; deleting or revising an unknown document deletes nothing (a revision
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
-from .common import shared_dir, slices
+from .common import own_dir, slices
 
 ROWS = "doc_id long, source string, lang string, tokenizer string, sign int, n_tokens long"
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -56,7 +58,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/token-ledger-{uuid.uuid4().hex}"
+        self.path = path or f"{own_dir(spark)}/token-ledger-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -74,7 +76,7 @@ class Ledger:
 
     def live(self) -> DataFrame:
         """(doc_id, source, lang, tokenizer, n_tokens) of the documents that count now."""
-        rows = self._read("rows", ROWS, self.batches())
+        rows = self._since("rows", ROWS)
         return rows.groupBy("doc_id", *KEYS, "n_tokens").agg(F.sum("sign").alias("copies")).where("copies > 0")
 
     def commit(self, batch_id: str, changes: DataFrame, tokenizer: str, version: str) -> bool:
@@ -103,28 +105,36 @@ class Ledger:
         rows.write.parquet(f"{part}/rows")
         done = self.spark.read.schema(ROWS).parquet(f"{part}/rows")
         done.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")).write.parquet(f"{part}/delta")
+        if self.batches() != before:
+            self._fs.delete(self._path(part), True)
+            raise RuntimeError(f"another batch was committed while {batch_id} was prepared; send it again")
         if not self._fs.rename(self._path(part), self._path(f"{self.path}/batch={batch_id}")):
             raise OSError(f"batch {batch_id} can't be committed")
         return True
 
-    def _snapshot(self) -> tuple[DataFrame, list[str]] | None:
-        marks = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)) if s.getPath().getName().startswith("snapshot="))
+    def _snapshots(self) -> list[str]:
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.path))]
+        return sorted(n for n in names if n.startswith("snapshot="))
+
+    def _since(self, kind: str, schema: str) -> DataFrame:
+        """The rows of the last snapshot and of the batches that it doesn't hold."""
+        marks, batches = self._snapshots(), self.batches()
         if not marks:
-            return None
-        held = json.loads(self.spark.read.text(f"{self.path}/{marks[-1]}/held", wholetext=True).first()[0])
-        return self.spark.read.schema(DELTA).parquet(f"{self.path}/{marks[-1]}/totals"), held
+            return self._read(kind, schema, batches)
+        held = set(json.loads(self.spark.read.text(f"{self.path}/{marks[-1]}/held", wholetext=True).first()[0]))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{marks[-1]}/{kind}").unionByName(self._read(kind, schema, [b for b in batches if b not in held]))
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens), groups without documents left out."""
-        snapshot, held = self._snapshot() or (self.spark.createDataFrame([], DELTA), [])
-        deltas = self._read("delta", DELTA, [b for b in self.batches() if b not in set(held)])
-        sums = snapshot.unionByName(deltas).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self._since("delta", DELTA).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> None:
-        """Add up the deltas of all batches into a snapshot."""
-        held = self.batches()
-        part, n = f"{self.path}/_tmp-{uuid.uuid4().hex}", len([s for s in self._fs.listStatus(self._path(self.path)) if s.getPath().getName().startswith("snapshot=")])
-        self.totals().coalesce(1).write.parquet(f"{part}/totals")
+        """Add up the deltas of all batches into a snapshot, with the rows that are live."""
+        held, n = self.batches(), len(self._snapshots())
+        part = f"{self.path}/_tmp-{uuid.uuid4().hex}"
+        self.totals().coalesce(1).write.parquet(f"{part}/delta")
+        self.live().select("doc_id", *KEYS, F.col("copies").cast("int").alias("sign"), "n_tokens").write.parquet(f"{part}/rows")
         self.spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.text(f"{part}/held")
-        self._fs.rename(self._path(part), self._path(f"{self.path}/snapshot={n:08d}"))
+        if not self._fs.rename(self._path(part), self._path(f"{self.path}/snapshot={n:08d}")):
+            raise OSError("the snapshot can't be written")
