@@ -5,8 +5,8 @@ against one block of candidates: both are scaled to int8, the product of the
 codes gives approximate cosines, and the exact norms of what rounding took away
 bound the error.  Only pairs whose upper bound reaches the query's current k-th
 best are computed again from the original vectors in double precision, and go
-to the query's heap.  A task streams candidate blocks past one query block, so
-it holds two blocks at a time; the heaps of the tasks are merged at the end.
+to the query's heap.  A task streams candidate blocks past a group of ``GROUP`` query blocks, so that
+candidates are sent once per group, and holds the group and one candidate block; the heaps of the tasks are merged at the end.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part; vectors of different lengths never meet; ties go to
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Vectors in a block.
-BLOCK = 2048
+#: Vectors in a block; query blocks in a group, about.
+BLOCK, GROUP = 2048, 16
 FOUND = "query_id long, query_row long, vec_id long, cand_row long, score double"
 BLOCKS = "dim int, block long, ids binary, rows binary, vectors binary"
 
@@ -131,32 +131,37 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     mine, theirs = usable(queries, id_col, vec_col), usable(candidates, id_col, vec_col)
     n_queries = mine.count()
     n_blocks = max(1, -(-n_queries // BLOCK))
-    lanes = max(1, -(-2 * spark.sparkContext.defaultParallelism // n_blocks))
+    n_groups = -(-n_blocks // GROUP)
+    lanes = max(1, -(-2 * spark.sparkContext.defaultParallelism // n_groups))
     salted = mine.withColumn("block_key", F.pmod(F.xxhash64("id", "row"), F.lit(n_blocks)).cast("int"))
     # A query block is a row: its size is that of BLOCK vectors, whatever the corpus.
     grouped = salted.repartition(n_blocks, "block_key").sortWithinPartitions("block_key").select("id", "row", "v").mapInArrow(_blocks, BLOCKS)
     # Written, so that both uses below see the same blocks (a repeated shuffle may order rows otherwise).
-    numbered = written(grouped, "query-blocks").withColumn("kind", F.lit(0))
-    keys = numbered.select("dim", F.col("block").alias("query_block"))
-    left = numbered.select("dim", F.col("block").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "kind", "ids", "rows", "vectors")
+    numbered = written(grouped, "query-blocks").withColumn("query_group", F.pmod(F.xxhash64("block"), F.lit(n_groups)).cast("int"))
+    keys = numbered.select("dim", "query_group").distinct()
+    names = ["dim", "query_group", "lane", "kind", "ids", "rows", "vectors"]
+    left = numbered.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumn("kind", F.lit(0)).select(*names)
     right = theirs.mapInArrow(_blocks, BLOCKS).withColumn("lane", F.pmod(F.xxhash64("dim", "block"), F.lit(lanes)).cast("int"))
-    right = right.join(F.broadcast(keys) if n_blocks <= 10_000 else keys, "dim").select("dim", "query_block", "lane", F.lit(1).alias("kind"), "ids", "rows", "vectors")
+    right = right.join(F.broadcast(keys) if n_groups <= 10_000 else keys, "dim").withColumn("kind", F.lit(1)).select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles: Tiles | None = None
+        tiles: list[Tiles] = []
+        held = None
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
+                at = row["dim"], row["query_group"], row["lane"]
+                if at != held:
+                    yield from (t.found() for t in tiles)
+                    tiles, held = [], at
                 if row["kind"] == 0:
-                    if tiles is not None:
-                        yield tiles.found()
-                    tiles = Tiles(row, k)
+                    tiles.append(Tiles(row, k))
                 else:
-                    tiles.add(row)
-        if tiles is not None:
-            yield tiles.found()
+                    for t in tiles:
+                        t.add(row)
+        yield from (t.found() for t in tiles)
 
-    key = ["dim", "query_block", "lane"]
-    parts = left.unionByName(right).repartition(min(n_blocks * lanes, 4096), *key).sortWithinPartitions(*key, "kind").mapInArrow(run, FOUND)
+    key = ["dim", "query_group", "lane"]
+    parts = left.unionByName(right).repartition(n_groups * lanes, *key).sortWithinPartitions(*key, "kind").mapInArrow(run, FOUND)
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "cand_row")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
