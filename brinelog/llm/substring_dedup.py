@@ -8,7 +8,7 @@ of its own cells reached 2.  A merged counter can only be too high, so windows
 that are below 2 in either row are unique for certain, and no repeated one is lost.
 
 In the second pass a block sends, for each distinct window that may be repeated,
-its 96-bit hash and the smallest doc_id that has it.  Groups by exact hash find
+its 96-bit hash (of 128-bit BLAKE2b digests of the words) and the smallest doc_id that has it.  Groups by exact hash find
 the corpus-wide minimum, and the block learns in which windows it isn't the
 first.  A window shared by any number of documents is one entry per block, so
 no group grows with the copies, and no sketch is ever held whole: memory is
@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import U64, blocked, carried, expand, in_sorted, mix, span_hashes, squeeze, text_bytes, texts_of, window_hashes, word_spans
+from .common import U64, blocked, carried, expand, in_sorted, mix, squeeze, text_bytes, texts_of, window_hashes, word_digests, word_spans
 
 WINDOW = 13
 #: Text of a block; windows of a shard, about; counters in a row of a shard (a power of two).
@@ -43,13 +43,13 @@ class Words:
         self.raw, self.off = text_bytes(texts)
         self.starts, self.ends, self.first = word_spans(self.raw, self.off)
         self.owner = np.repeat(np.arange(len(texts)), np.diff(self.first))  # text of each word
-        words = span_hashes(self.raw, self.starts, self.ends)
-        every = window_hashes(words, size)
+        words = word_digests(self.raw, self.starts, self.ends)
+        every = window_hashes(words[:, 0], size)
         usable = np.array(ids.is_valid())
         inside = self.owner[: len(every)] == self.owner[size - 1 :] if len(every) else np.zeros(0, bool)
         self.at = np.flatnonzero(inside & usable[self.owner[: len(every)]])
         self.hashes = every[self.at]
-        self.second = window_hashes(mix(words), size, 0xA0761D6478BD642F)[self.at].astype(np.uint32)
+        self.second = window_hashes(words[:, 1], size, 0xA0761D6478BD642F)[self.at].astype(np.uint32)
         self.doc_ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         self.window_doc = self.doc_ids[self.owner[self.at]]
 
