@@ -65,12 +65,26 @@ def test_em_as_in_numpy(spark):
     for _ in range(quality_rules.STEPS):
         logit = np.log(share / (1 - share)) + np.where(v == 1, np.log((1 - on_good) / (1 - on_bad)), np.where(v == -1, np.log(on_good / on_bad), 0)).sum(axis=1)
         q = 1 / (1 + np.exp(-logit))
-        share = np.clip((9 + q.sum()) / (10 + len(q)), 0.05, 0.999)
-        rate = lambda w, s: (10 * s + (w[:, None] * (v == -1)).sum(axis=0)) / (10 + (w[:, None] * (v != 0)).sum(axis=0))  # noqa: B023, E731
-        on_good, on_bad = np.clip(rate(q, 0.02), 0.0005, 0.1), np.clip(rate(1 - q, 0.4), 0.3, 0.99)
+        share = (9 + q.sum()) / (10 + len(q))
+        weight = 10 + quality_rules.PRIOR * len(v)
+        rate = lambda w, s: (weight * s + (w[:, None] * (v == -1)).sum(axis=0)) / (weight + (w[:, None] * (v != 0)).sum(axis=0))  # noqa: B023, E731
+        on_good, on_bad = rate(q, 0.02), rate(1 - q, 0.4)
     assert p["share"][0] == pytest.approx(share) and p["on_good"] == pytest.approx(list(on_good)) and p["on_bad"] == pytest.approx(list(on_bad))
 
 
+def test_useless_and_inverted_rules_are_learnt_as_such(spark):
+    rng = np.random.default_rng(4)
+    m = len(quality_rules.RULES)
+    bad = rng.random(4000) < 0.2
+    chance = np.where(bad[:, None], 0.7, 0.03) * np.ones(m)
+    chance[:, 2], chance[:, 5] = 0.3, np.where(bad, 0.03, 0.6)
+    votes = [[int(x) for x in row] for row in (rng.random((4000, m)) < chance) * -2 + 1]
+    p = quality_rules.fit(spark.createDataFrame([(v,) for v in votes], "votes array<int>"))
+    assert abs(p["on_good"][2] - 0.3) < 0.05 and abs(p["on_bad"][2] - 0.3) < 0.05
+    assert abs(p["on_good"][5] - 0.6) < 0.05 and p["on_bad"][5] < 0.1
+    assert abs(p["share"][0] - 0.8) < 0.03 and all(abs(p["on_bad"][k] - 0.7) < 0.07 and p["on_good"][k] < 0.06 for k in (0, 1, 3, 4, 6, 7, 8, 9))
+
+
 def test_quality_follows_labels(spark, sf_dir):
     d = sf_dir.replace("0.001", "0.01")
     kept = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in QUERIES["op6_quality_rules"](spark, d).collect()}
@@ -97,6 +111,40 @@ def test_language(spark, sf_dir):
     assert {r["lang_pred"] for r in language_id.identify(frame(spark), nothing).collect()} == {"und"}
 
 
+def plain_buckets(text):
+    """The buckets of a text's n-grams, one by one."""
+    c = [ord(x) if x.isalpha() else 0 for x in f" {text.lower()} "]
+    out = []
+    for n in range(1, 5):
+        for k in range(len(c) - n + 1):
+            w = c[k : k + n]
+            if all(w[1:-1]) if n > 2 else any(w):
+                h = w[0] * 0x9E3779B1 % 2**32
+                for m in range(2, n + 1):
+                    h = ((h ^ w[m - 1]) * 0x9E3779B1 + m) % 2**32
+                out.append((h ^ h >> 15 if n > 1 else h) >> 16)
+    return out
+
+
+def test_language_scores_as_written_plainly(spark):
+    rng = np.random.default_rng(8)
+    langs = ("aa", "bb", "cc")
+    model = language_id.Model(langs, rng.normal(size=(language_id.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 0.7, 0.6)
+    want = []
+    for i, t in ROWS:
+        row = (i, "und", 0.0, False)
+        if any(x.isalpha() for x in t or ""):
+            found = plain_buckets(t)
+            logits = [(sum(float(model.table[b, k]) for b in found) / len(found) + model.bias[k]) / 0.7 for k in range(3)]
+            odds = [np.exp(z - max(logits)) for z in logits]
+            score = max(odds) / sum(odds)
+            row = (i, langs[odds.index(max(odds))], score, score >= 0.6)
+        want.append(row)
+    got = language_id.identify(frame(spark), model).collect()
+    assert sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 6), r["accepted"]) for r in got), key=repr) == sorted(((i, p, round(float(x), 6), bool(a)) for i, p, x, a in want), key=repr)
+    assert language_id.identify(frame(spark, []), model).count() == 0
+
+
 def chats(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int, formatted string")
 
@@ -135,9 +183,10 @@ def nearest(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_vectors(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "group"), [(3, 1), (2, 2), (2048, 16)])
+def test_vectors(spark, monkeypatch, block, group):
     monkeypatch.setattr(vector_search, "BLOCK", block)
+    monkeypatch.setattr(vector_search, "GROUP", group)
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(60)]
     rows += [(100, rows[0][1]), (101, rows[0][1]), (102, [0.0] * 8), (103, None), (104, [1.0, None] * 4), (105, [float("nan")] * 8), (106, [float("inf")] + [1.0] * 7), (107, []), (108, [1.0, 2.0]), (None, rows[0][1]), (109, [1e-200] * 8), (110, [1e200] * 8)]

@@ -28,6 +28,24 @@ def test_repeated_words_in_many_shards_and_blocks(spark, sf_dir, monkeypatch, sh
     assert got == sorted(without_repeats(rows))
 
 
+def thue_morse(n):
+    """A word over a and b, and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_and_texts_that_polynomials_take_for_equal(spark):
+    one, other = thue_morse(4096)
+    plain = prose(12, 55).replace("\n", " ")
+    rows = [(1, f"{plain} {one}"), (2, f"{plain} {other}"), (3, one), (4, other), (5, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(df).orderBy("doc_id").collect()] == [0] * 5
+    got = {r["doc_id"]: r["class_id"] for r in simhash_forest.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}  # 1 and 2 share 8 of 10 word 5-grams
+    rows = [(k, t, "xx", "s", 0, 7, 7, "w", 3, "c", 1, "z", 2, 9) for k, t in rows]
+    check_repeated_bytes(spark, rows, 400)
+
+
 def test_cleaned_keeps_columns_and_untouched_texts(spark):
     df = frame(spark)
     out = substring_dedup.cleaned(df)
@@ -41,26 +59,48 @@ def test_cleaned_keeps_columns_and_untouched_texts(spark):
 def test_repeated_bytes(spark, monkeypatch, length, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = [r for r in awkward() if r[0] != 15]
-    got = sorted(map(tuple, suffix_dedup.remove_repeated_bytes(frame(spark, rows), length).collect()), key=repr)
-    got = [(*r[:4], bytes(r[4])) for r in got]
-    assert sorted(got, key=repr) == sorted(without_repeated_bytes([(r[0], r[1]) for r in rows], length), key=repr)
+    check_repeated_bytes(spark, rows, length)
+
+
+def check_repeated_bytes(spark, rows, length):
+    got = suffix_dedup.remove_repeated_bytes(frame(spark, rows), length).collect()
+    want = without_repeated_bytes([(r[0], r[1]) for r in rows], length)
+    assert sorted(((*r[:4], bytes(r["kept"])) for r in got), key=repr) == sorted(want, key=repr)
+    short = without_repeated_bytes([(r[0], r[1]) for r in rows], suffix_dedup.probe_of(length))
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_repeated"]) for r in got), key=repr) == sorted((r[:3] for r in short), key=repr)
+
+
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_400_repeated_bytes_in_many_blocks_and_tasks(spark, monkeypatch, hot):
+    """Passages that many documents share in unlike surroundings, copies, a very long text (cut into slices) and one that repeats itself."""
+    for name, size in (("HOT", hot), ("BLOCK_BYTES", 20_000), ("SORT_BYTES", 30_000), ("SLICE_BYTES", 7_000)):
+        monkeypatch.setattr(suffix_dedup, name, size)
+    passages = [prose(n, 30 + n) for n in (52, 60, 66, 80, 150)]
+    rows = list(awkward())
+    for k in range(60):
+        text = " ".join([prose(40, 2000 + k), passages[k % 5], prose(30, 3000 + k), passages[(k // 5) % 5] if k % 3 else ""])
+        rows += [(100 + k, text, *rows[0][2:])] * (2 if k % 10 == 0 else 1)
+    long = prose(4000, 4000)
+    rows += [(500, long + " " + passages[4] + " " + prose(2000, 4001), *rows[0][2:]), (501, long[3000:9000] + prose(50, 4002), *rows[0][2:]), (502, "ab" * 4000, *rows[0][2:])]
+    check_repeated_bytes(spark, rows, 400)
 
 
 def test_bucket_refinement_is_exact():
     rng = random.Random(3)
     for length in (1, 3, 8, 20, 400):
+        probe = suffix_dedup.probe_of(length)
         parts = [bytes(rng.choices(b"ab", k=rng.randint(0, 600))) for _ in range(6)]
         parts += [parts[0], b"ab" * 300]
         raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
         end = np.repeat(np.cumsum([len(p) for p in parts]), [len(p) for p in parts])
-        got = suffix_dedup.refine(raw, end, length)
         data = raw.tobytes()
-        seen = {}
-        for k in range(len(data)):
-            if k + length <= end[k]:
-                seen.setdefault(data[k : k + length], []).append(k)
-        want = {k for v in seen.values() if len(v) > 1 for k in v}
-        assert set(np.flatnonzero(got >= 0).tolist()) == want
+        for size, got in zip((length, probe), suffix_dedup.refine(raw, end, np.ones(len(raw), bool), length, probe), strict=True):
+            seen = {}
+            for k in range(len(data)):
+                if k + size <= end[k]:
+                    seen.setdefault(data[k : k + size], []).append(k)
+            want = {k for v in seen.values() if len(v) > 1 for k in v}
+            assert set(np.flatnonzero(got).tolist()) == want
 
 
 def test_near_duplicates(spark):

@@ -112,11 +112,25 @@ def test_ledger(spark):
     assert totals() == want and ledger.batches() == ["b1", "b2", "b3"]
     ledger.commit("b4", batch(), BYTES, "v1")
     assert totals() == want
+    ledger.compact()
+    assert totals() == want and {(r["doc_id"], r["source"]) for r in ledger.live().collect()} == {(None, "a"), (1, "a"), (1, "b"), (2, "a"), (4, "a")}
+    ledger.commit("b6", batch((4, "delete", None, None, None, 1)), BYTES, "v1")
+    want["a", "en", "v1"] = (1, n("lost"))
+    assert totals() == want
     with pytest.raises(Exception, match="op must be"):
         ledger.commit("b5", batch((1, "upsert", "x", "a", "en", 1)), BYTES, "v1")
     assert totals() == want and token_counts.Ledger(spark).totals().count() == 0
 
 
+def test_a_commit_in_between_is_noticed(spark, monkeypatch):
+    ledger, one = token_counts.Ledger(spark), spark.createDataFrame([(1, "insert", "one", "a", "en")], "doc_id long, op string, text string, source string, lang string")
+    known, asked = ledger.batches, []
+    monkeypatch.setattr(ledger, "batches", lambda: asked.append(1) or (known() + ["other"] if len(asked) > 2 else known()))
+    with pytest.raises(RuntimeError, match="send it again"):
+        ledger.commit("mine", one, BYTES, "v1")
+    assert known() == []
+
+
 def test_ledger_without_change_numbers(spark):
     cols = "doc_id long, op string, text string, source string, lang string"
     n = lambda t: len(ids_of(t)) - 1
