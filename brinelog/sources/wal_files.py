@@ -11,11 +11,14 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Records that are decoded at once.
+PART = 20_000
 MAGIC = b"LSMW\x01\x00\x00\x00"
 RECORDS = "segment long, offset long, seqno long, key string, value binary, tombstone boolean, valid boolean"
 
@@ -54,7 +57,11 @@ def decode_segment(data: bytes) -> Iterator[tuple[int, int | None, str | None, b
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all ``<number>.wal`` files of a folder; files with other names are passed over."""
+    """Records of all ``<number>.wal`` files of a folder; files with other names are passed over.
+
+    A file is read by one task as a whole, since its records can only be found from its start; logs roll to a new one at
+    ``wal_segment_roll_bytes``.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path)
     number = F.try_to_number(F.regexp_extract("path", r"([0-9]+)\.wal$", 1), F.lit("9" * 18)).cast("long")
     named = files.select(number.alias("segment"), "content").where("segment IS NOT NULL")
@@ -62,8 +69,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["segment", "offset", "seqno", "key", "value", "tombstone", "valid"]
         for pdf in batches:
-            rows = [(s, *r) for s, data in zip(pdf["segment"], pdf["content"], strict=True) for r in decode_segment(data)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"seqno": "Int64", "tombstone": "boolean"})
+            rows = ((s, *r) for s, data in zip(pdf["segment"], pdf["content"], strict=True) for r in decode_segment(data))
+            while part := list(islice(rows, PART)):  # a segment's records are never held all at once
+                yield pd.DataFrame(part, columns=names).astype({"seqno": "Int64", "tombstone": "boolean"})
 
     return named.mapInPandas(decode, RECORDS)
