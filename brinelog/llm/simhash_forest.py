@@ -235,7 +235,7 @@ class Wide:
     """The longer signatures of rows, and how many of their bits may differ."""
 
     def __init__(self, blobs: list[bytes], n: np.ndarray, limits: np.ndarray) -> None:
-        self.bits = np.frombuffer(b"".join(blobs), dtype=np.uint64).reshape(len(blobs), -1)
+        self.bits = np.frombuffer(b"".join(blobs), dtype=np.uint64).reshape(len(blobs), WIDE // 64)
         self.most = limits[np.minimum(n, SMALL + 1)]
 
     def sifted(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -476,6 +476,8 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, scratch: Scra
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
     near = scratch.written(beside(pairs.select("a", "b"), "sign").mapInArrow(close, "a long, b long").distinct(), "near")
+    if not near.limit(1).count():
+        return near
     groups = components(near, scratch)
     sizes = groups.groupBy("class_id").agg(F.count("*").alias("size"))
     small = groups.join(sizes.where(F.col("size") <= TOGETHER).select("class_id"), "class_id")
@@ -504,7 +506,7 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, target: float
         forest = plan(left.count(), similarity, target, LEAF * scale)
         offered = written(candidates(left, forest, QUOTA * scale, CROWD * scale, similarity), "offers")
         fresh = offered.where("a <> b").select("a", "b") if tested is None else offered.where("a <> b").select("a", "b").join(tested, ["a", "b"], "left_anti")
-        found = written(verified(fresh, docs, similarity, scratch), "verified")
+        found = written(verified(fresh, docs, similarity, scratch), "verified") if fresh.limit(1).count() else fresh
         links = found if links is None else links.unionByName(found)
         tested = fresh if tested is None else tested.unionByName(fresh)
         classes = components(links, scratch)
