@@ -3,6 +3,7 @@
 import glob
 import hashlib
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -156,7 +157,10 @@ def digests(rows):
         turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or ""))
         said = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns)
         loss = "".join(r[3] or "" for r in turns if r[2] == "assistant")
-        out[conv] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        # each turn's marks, and one more character for each control string that is escaped
+        escaped = lambda x: len(x or "") + len(re.findall(r"<\\*/?s>|\[\\*/?INST\]", x or ""))
+        formatted = 3 + sum(17 + escaped(r[2]) + escaped(r[3]) for r in turns)
+        out[conv] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), formatted)
     return out
 
 
@@ -168,7 +172,7 @@ def test_chats(spark, monkeypatch, part):
     rows += [(None, 0, "user", "x"), (None, None, "assistant", "y"), (9, 1, "assistant", "same"), (9, 1, "assistant", "same"), (10, 0, "user", "z" * 100)]
     df = chats(spark, [(*r, 0, "f") for r in rows])
     made = chat_format.format_conversations(df)
-    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat_format.read_back(made).collect()}
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) for r in chat_format.read_back(made).collect()}
     assert got == digests(rows)
     assert chat_format.read_back(chat_format.format_conversations(chats(spark, []))).count() == 0
 
