@@ -228,6 +228,17 @@ def test_substring_stage_keeps_every_document(spark, sf_dir):
     assert got == [(4, False, False), (5, False, False), (5, False, False), (10, False, False), (11, True, True), (20, True, True)]
 
 
+def test_filtering_stages_keep_what_the_operators_accept(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    good = corpus_pipeline.quality(spark, docs, sf_dir)
+    judged = {r["doc_id"]: (measured(r["text"]), r["kept"]) for r in quality_rules.judge(docs).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    assert ids(good) == sorted(i for i, (_, kept) in judged.items() if kept)
+    assert all(not kept for (n, _, _, _, repeated), kept in judged.values() if n < 10 or 100 * repeated > 20 * n)
+    told = language_id.identify(good, language_id.fit(good))
+    assert ids(corpus_pipeline.language(spark, good, sf_dir)) == ids(told.where("accepted")) and told.where("accepted AND lang_pred = 'und'").count() == 0
+
+
 def test_dedup_stages_as_by_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
