@@ -1,13 +1,16 @@
 """Greedy cuts of an ordered log: segments, memtables and blocks.
 
 Where a piece begins depends on where the one before it ended, which no window function
-says.  The fold streams over narrow, sorted columns with constant state: memory doesn't
-grow with the log, and independent groups (runs) are folded in parallel.
+says.  So the ordered log is divided into chunks of about ``CHUNK_ROWS`` rows.  Each chunk is
+summed up, in parallel, as a map from what is open before it to what is open after it; one
+task follows these maps from chunk to chunk; then each chunk is cut, in parallel, from the
+state so found.  No task sorts or holds more than a chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +18,89 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUT = "grp long, piece long, first_at long, last_at long, n long, bytes long"
+#: Rows of a chunk, about; chunks are bounded by one row in so many, drawn by hash.
+CHUNK_ROWS, SAMPLE_ROWS = 1 << 19, 1 << 13
 
 
-def _cuts(batches: Iterator[pa.RecordBatch], limit: int, header: int, before: bool) -> Iterator[pa.RecordBatch]:
-    """Pieces of (grp, at, bytes) rows.  before: a piece ends before the row that would pass the limit, else after the row that reaches it."""
+def _bounds(rows: DataFrame) -> list[tuple[int, object]]:
+    """First (grp, at) of each chunk but the first one.  The same rows always give the same ones."""
+    drawn = rows.select("grp", "at").where(F.pmod(F.xxhash64("grp", "at"), F.lit(SAMPLE_ROWS)) == 0).where("at IS NOT NULL").collect()
+    step = max(1, CHUNK_ROWS // SAMPLE_ROWS)
+    return sorted({(r["grp"], r["at"]) for r in sorted(drawn)[step::step]})
+
+
+def _chunked(rows: DataFrame, bounds: list[tuple[int, object]]) -> DataFrame:
+    """Rows (grp, at, ...) in partitions of one chunk each, in order, with ``chunk`` as first column: the number of bounds that aren't after the row."""
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        grp, at = bounds[(lo + hi) // 2]
+        reached = (F.col("grp") > grp) | ((F.col("grp") == grp) & (F.col("at") >= F.lit(at)))
+        return F.when(reached, between((lo + hi) // 2 + 1, hi)).otherwise(between(lo, (lo + hi) // 2))
+
+    placed = rows.select(between(0, len(bounds)).alias("chunk"), *rows.columns)
+    return placed.repartitionById(len(bounds) + 1, F.col("chunk")).sortWithinPartitions("chunk", "grp", "at", "bytes")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Each chunk with its other columns."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        ids = b.column(0).to_numpy()
+        for lo, hi in _segments(ids):
+            if held and held[0].column(0)[0].as_py() != ids[lo]:
+                yield _joined(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[int, pa.RecordBatch]:
+    whole = pa.Table.from_batches(held).combine_chunks()
+    return whole.column(0)[0].as_py(), pa.RecordBatch.from_arrays([c.chunk(0) for c in whole.columns[1:]], whole.column_names[1:])
+
+
+def _segments(grp: np.ndarray) -> list[tuple[int, int]]:
+    """(first, after last) of each run of equal values."""
+    ends = [*(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)] if len(grp) else []
+    return list(zip([0, *ends], ends, strict=False))
+
+
+def _states(chunks: DataFrame, summary: Callable[[pa.RecordBatch], object], follow: Callable[[Iterator[tuple[int, object]]], Iterator[tuple[int, object]]]) -> list[tuple[int, object]]:
+    """What ``follow`` finds from the summaries of all chunks, in their order."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, b in _whole(batches):
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "data": [pickle.dumps(summary(b))]})
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = ((c, pickle.loads(d)) for b in batches for c, d in zip(b.column(0).to_pylist(), b.column(1), strict=True) for d in [d.as_py()])
+        for chunk, state in follow(read):
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "data": [pickle.dumps(state)]})
+
+    kind = "chunk int, data binary"
+    one = chunks.mapInArrow(summed, kind).repartition(1).sortWithinPartitions("chunk").mapInArrow(followed, kind)
+    return [(r["chunk"], pickle.loads(r["data"])) for r in one.collect()]
+
+
+def _ends(jump: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the jumps from each place end, and their number; a place that jumps to itself is an end."""
+    count = (jump != np.arange(len(jump))).astype(np.int64)
+    while True:
+        ahead = jump[jump]
+        if np.array_equal(ahead, jump):
+            return jump, count
+        count, jump = count + count[jump], ahead
+
+
+def _cuts(batches: Iterator[pa.RecordBatch], limit: int, header: int, before: bool, piece: list[int] | None = None, rest: bool = True) -> Iterator[pa.RecordBatch]:
+    """Pieces of (grp, at, bytes) rows.  before: a piece ends before the row that would pass the limit, else after the row that reaches it.
+
+    piece: what is open before the first row.  rest: whether what is open after the last row is a piece.
+    """
     names = ["grp", "piece", "first_at", "last_at", "n", "bytes"]
-    piece: list[int] | None = None
 
     for b in batches:
         done: list[list[int]] = []
@@ -55,13 +135,12 @@ def _cuts(batches: Iterator[pa.RecordBatch], limit: int, header: int, before: bo
         done = [d for d in done if d[4]]
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*done, strict=True)], names)
-    if piece is not None and piece[4]:
+    if rest and piece is not None and piece[4]:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in piece], names)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(grp, at, bytes) with the place within its group, from 1, instead of ``at``."""
-    last, count = None, 0
+def _numbered(batches: Iterator[pa.RecordBatch], last: int | None = None, count: int = 0) -> Iterator[pa.RecordBatch]:
+    """(grp, at, bytes) with the place within its group, from 1, instead of ``at``.  count: rows of group ``last`` before."""
     for b in batches:
         if b.num_rows:
             grp = b.column(0).to_numpy()
@@ -73,10 +152,76 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(place), b.column(2)], ["grp", "at", "bytes"])
 
 
+def _outcomes(at: np.ndarray, size: np.ndarray, limit: int, header: int, before: bool) -> dict[str, object]:
+    """What rows of one group do to any piece that is open before them.
+
+    ``to``: by bytes that fit into that piece, the next cuts: how many, and what is open after the last one.
+    ``fresh``: the same for a piece that begins with these rows.
+    """
+    n, sums = len(size), np.concatenate([[0], np.cumsum(size)])
+    here = np.arange(n)
+    if before:
+        ends = np.maximum(np.searchsorted(sums, sums[:-1] + limit - header, side="right") - 1, here + 1)
+        jump = np.append(np.where(ends < n, ends, here), n)
+        most = int(np.searchsorted(sums, limit - header, side="right")) - 1
+        starts = np.arange(0, min(max(most, 0), n - 1) + 1)
+    else:
+        ends = np.maximum(np.searchsorted(sums, sums[:-1] + limit - header, side="left"), here + 1)
+        jump = np.append(np.where(ends <= n, ends, here), n)
+        starts = np.arange(1, min(max(int(np.searchsorted(sums, limit - header, side="left")), 1), n) + 1)
+    end, cuts = _ends(jump)
+    opened = lambda q: np.stack([np.append(at, 0)[q], n - q, sums[-1] - sums[q]])
+    differs = (end[starts[1:]] != end[starts[:-1]]) | (cuts[starts[1:]] != cuts[starts[:-1]])
+    kept = starts[np.append(True, differs)] if before else starts[np.append(differs, True)]
+    return {"n": n, "bytes": int(sums[-1]), "last_at": int(at[-1]), "fits": sums[kept], "cuts": cuts[kept], "to": opened(end[kept]), "fresh": (int(cuts[0]), opened(end[:1]))}
+
+
+def _after(piece: list[int] | None, grp: int, rows: dict, header: int, before: bool, limit: int, shift: int) -> list[int]:
+    """The piece that is open after these rows of a group.  shift: what their ``at`` lacks."""
+    if piece is not None and piece[0] == grp and piece[4]:
+        fit = limit - piece[5]
+        if rows["bytes"] <= fit if before else rows["bytes"] < fit:
+            return [grp, piece[1], piece[2], rows["last_at"] + shift, piece[4] + rows["n"], piece[5] + rows["bytes"]]
+        i = max(int(np.searchsorted(rows["fits"], fit, side="right")) - 1, 0) if before else int(np.searchsorted(rows["fits"], fit, side="left"))
+        number, (first_at, n, size) = piece[1] + 1 + int(rows["cuts"][i]), rows["to"][:, i].tolist()
+    else:
+        number, (first_at, n, size) = (piece[1] if piece is not None and piece[0] == grp else 0) + rows["fresh"][0], rows["fresh"][1][:, 0].tolist()
+    return [grp, number, first_at + shift if n else 0, rows["last_at"] + shift if n else 0, n, header + size]
+
+
 def _fold(rows: DataFrame, grp: Column, at: str, size: Column, limit: int, header: int, before: bool, places: bool = False) -> DataFrame:
     narrow = rows.select(grp.cast("long").alias("grp"), F.col(at).alias("at") if places else F.col(at).cast("long").alias("at"), size.cast("long").alias("bytes"))
-    ordered = narrow.repartition("grp").sortWithinPartitions("grp", "at")
-    return ordered.mapInArrow(lambda it: _cuts(_numbered(it) if places else it, limit, header, before), CUT)
+    bounds = _bounds(narrow)
+    if not bounds:
+        ordered = narrow.repartition("grp").sortWithinPartitions("grp", "at", "bytes")
+        return ordered.mapInArrow(lambda it: _cuts(_numbered(it) if places else it, limit, header, before), CUT)
+    chunks = _chunked(narrow, bounds)
+
+    def summary(b: pa.RecordBatch) -> list[tuple[int, dict]]:
+        grp, at, size = next(_numbered(iter([b]))).columns if places else b.columns
+        grp, at, size = grp.to_numpy(), at.to_numpy(), size.to_numpy()
+        spans = _segments(grp)
+        return [(int(grp[lo]), _outcomes(at[lo:hi], size[lo:hi], limit, header, before)) for lo, hi in (spans if len(spans) < 2 else [spans[0], spans[-1]])]
+
+    def follow(summaries: Iterator[tuple[int, list[tuple[int, dict]]]]) -> Iterator[tuple[int, object]]:
+        piece, count = None, 0
+        for chunk, parts in summaries:
+            yield chunk, (piece, count)
+            for grp, part in parts:
+                count = count if piece is not None and piece[0] == grp else 0
+                piece = _after(piece, grp, part, header, before, limit, count if places else 0)
+                count += part["n"]
+
+    states = _states(chunks, summary, follow)
+    state, final = dict(states), max((c for c, _ in states), default=0)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, b in _whole(batches):
+            piece, count = state[chunk]
+            numbered = _numbered(iter([b]), piece and piece[0], count) if places else iter([b])
+            yield from _cuts(numbered, limit, header, before, piece and list(piece), chunk == final)
+
+    return chunks.mapInArrow(cut, CUT)
 
 
 def wal_segments(log: DataFrame, record_size: Column, roll_bytes: int, header: int = 8) -> DataFrame:
