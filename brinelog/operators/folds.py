@@ -236,36 +236,131 @@ def memtable_rotations(log: DataFrame, slot_size: Column, max_bytes: int) -> Dat
     return cut.select((F.col("piece") + 1).alias("memtable"), F.col("first_at").alias("first_seqno"), F.col("last_at").alias("last_seqno"), F.col("n").alias("entries"), "bytes")
 
 
+def _overwritten(batches: Iterator[pa.RecordBatch], max_bytes: int, number: int = 1, rest: bool = True) -> Iterator[pa.RecordBatch]:
+    """Memtables of (grp, at, key, bytes) rows.  rest: whether what is open after the last row is one."""
+    held: dict[str | None, int] = {}
+    total, first, last, n = 0, 0, 0, 0
+    names = ["memtable", "first_seqno", "last_seqno", "writes", "entries", "bytes"]
+    for b in batches:
+        done = []
+        for seqno, key, size in zip(*(c.to_pylist() for c in b.columns[-3:]), strict=True):
+            if not n:
+                first = seqno
+            n += 1
+            last = seqno
+            total += size - held.get(key, 0)
+            held[key] = size
+            if total >= max_bytes:
+                done.append((number, first, last, n, len(held), total))
+                held, total, n, number = {}, 0, 0, number + 1
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*done, strict=True)], names)
+    if rest and n:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, first, last, n, len(held), total)], names)
+
+
+def _overwriting_outcomes(b: pa.RecordBatch, max_bytes: int) -> dict[str, object]:
+    """What rows (grp, at, key, bytes) do to any memtable that is open before them.
+
+    ``events``: (row, whether its key is new here, key, bytes of these rows up to there) of each row that may end it: after others the bytes are no
+    more than before, whatever was held.  ``cuts`` and ``opens``: what follows if it ends before the first row or after that of each event - the
+    memtables that end here too, and the row with which the open one begins.  ``tail``: (row, key, bytes) of the newest versions that these hold.
+    The number of keys in all this is bounded by ``max_bytes``.
+    """
+    encoded = b.column("key").dictionary_encode(null_encoding="encode")
+    keys, code, size = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(), b.column("bytes").to_pylist()
+    n = len(size)
+    order = np.argsort(code, kind="stable")
+    same = code[order[1:]] == code[order[:-1]]
+    after, prior = np.full(n, n), np.full(n, -1)
+    after[order[:-1][same]], prior[order[1:][same]] = order[1:][same], order[:-1][same]
+    following, before, codes = after.tolist(), prior.tolist(), code.tolist()
+
+    # fewer rows hold no more, so the end of the memtable that begins at ``at`` never moves back as ``at`` grows
+    jump, end, total = list(range(n + 1)), 0, 0
+    for at in range(n):
+        while end < n and (end == at or total < max_bytes):
+            total += size[end] - (size[before[end]] if before[end] >= at else 0)
+            end += 1
+        if total < max_bytes:
+            break
+        jump[at] = end
+        if following[at] >= end:
+            total -= size[at]
+
+    events, total, most = [], 0, -1
+    for i in range(n):
+        total += size[i] - (size[before[i]] if before[i] >= 0 else 0)
+        if before[i] < 0 or total > most:
+            most = total
+            events.append((i, before[i] < 0, keys[codes[i]], total))
+        if total >= max_bytes:
+            break
+
+    ends, cuts = _ends(np.array(jump))
+    starts = [0, *(e[0] + 1 for e in events)]
+    opens, seqno = ends[starts], np.append(b.column("at").to_numpy(), 0)
+    least = int(opens.min())
+    tail = [(i, keys[codes[i]], size[i]) for i in (np.flatnonzero(after[least:] >= n) + least).tolist()]
+    return {"n": n, "last": int(seqno[n - 1]), "events": events, "ended": seqno[[e[0] for e in events]].tolist(), "cuts": cuts[starts].tolist(), "opens": opens.tolist(), "firsts": seqno[opens].tolist(), "tail": tail}
+
+
+def _follow_overwrites(summaries: Iterator[tuple[int, dict]], max_bytes: int) -> Iterator[tuple[int, tuple]]:
+    """For each chunk the memtables to report besides those that begin and end in it, the row from which those begin, and the number of the first."""
+    held: dict[str | None, int] = {}
+    first, last, n, number, found = 0, 0, 0, 1, None
+    for chunk, rows in summaries:
+        if found:
+            yield found
+        taken, start, pieces = 0, 0, []
+        if n:
+            kept, left, new, taken = sum(held.values()), len(held), 0, None
+            for k, (i, is_new, key, total) in enumerate(rows["events"]):
+                if is_new:
+                    new += 1
+                    if key in held:
+                        kept, left = kept - held[key], left - 1
+                if total + kept >= max_bytes:
+                    pieces = [(number, first, rows["ended"][k], n + i + 1, left + new, total + kept)]
+                    number, taken, start = number + 1, k + 1, i + 1
+                    break
+        if taken is None:  # nothing ends here, so the tail is all that these rows hold
+            start, n = rows["n"], n + rows["n"]
+            held |= {key: size for _, key, size in rows["tail"]}
+            found = chunk, (pieces, start, number)
+        else:
+            found = chunk, (pieces, start, number)
+            opened = rows["opens"][taken]
+            number, n, first = number + rows["cuts"][taken], rows["n"] - opened, rows["firsts"][taken]
+            held = {key: size for i, key, size in rows["tail"] if i >= opened}
+        last = rows["last"]
+    if found:
+        chunk, (pieces, start, begun) = found
+        yield chunk, ([*pieces, (number, first, last, n, len(held), sum(held.values()))] if n else pieces, start, begun)
+
+
 def overwriting_rotations(log: DataFrame, max_bytes: int, slot: int = 32) -> DataFrame:
     """Memtables of a log that overwrites keys: a value that replaces another one gives its bytes back.
 
     Needs the keys of the open memtable as state; that is bounded by ``max_bytes``.
     """
+    kind = "memtable long, first_seqno long, last_seqno long, writes long, entries long, bytes long"
+    size = F.octet_length("key") + F.octet_length("value") + slot
+    narrow = log.select(F.lit(0).cast("long").alias("grp"), F.col("seqno").cast("long").alias("at"), "key", size.cast("long").alias("bytes"))
+    bounds = _bounds(narrow)
+    if not bounds:
+        return narrow.repartition(1).sortWithinPartitions("at").mapInArrow(lambda it: _overwritten(it, max_bytes), kind)
+    chunks = _chunked(narrow, bounds)
+    state = dict(_states(chunks, lambda b: _overwriting_outcomes(b, max_bytes), lambda it: _follow_overwrites(it, max_bytes)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
-        total, first, last, number, n = 0, 0, 0, 1, 0
-        names = ["memtable", "first_seqno", "last_seqno", "writes", "entries", "bytes"]
-        for b in batches:
-            done = []
-            for seqno, key, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not n:
-                    first = seqno
-                n += 1
-                last = seqno
-                total += size - held.get(key, 0)
-                held[key] = size
-                if total >= max_bytes:
-                    done.append((number, first, last, n, len(held), total))
-                    held, total, n, number = {}, 0, 0, number + 1
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*done, strict=True)], names)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, first, last, n, len(held), total)], names)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, b in _whole(batches):
+            pieces, start, number = state[chunk]
+            if pieces:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pieces, strict=True)], ["memtable", "first_seqno", "last_seqno", "writes", "entries", "bytes"])
+            yield from _overwritten(iter([b.slice(start)]), max_bytes, number, rest=False)
 
-    size = F.octet_length("key") + F.octet_length("value") + slot
-    ordered = log.select("seqno", "key", size.cast("long").alias("bytes")).repartition(1).sortWithinPartitions("seqno")
-    return ordered.mapInArrow(run, "memtable long, first_seqno long, last_seqno long, writes long, entries long, bytes long")
+    return chunks.mapInArrow(cut, kind)
 
 
 def block_layout(runs: DataFrame, entry_size: Column, block_size: int) -> DataFrame:

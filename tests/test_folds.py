@@ -77,3 +77,43 @@ def test_blocks_of_runs_in_many_chunks(spark, small_chunks):
         mine = [k for r, k in ordered if r == run]
         want += [(g, p, a, n, b) for g, p, a, _, n, b in plain_cuts([(run, i + 1, len((k or "").encode()) + 17) for i, k in enumerate(mine)], 100, 0, False)]
     assert sorted(map(tuple, folds.block_layout(df, size, 100).collect())) == want
+
+
+def plain_memtables(rows, limit):
+    out, held, first, n = [], {}, 0, 0
+    for at, key, size in sorted(rows):
+        first, n = first if n else at, n + 1
+        held[key] = size
+        if sum(held.values()) >= limit:
+            out.append((len(out) + 1, first, at, n, len(held), sum(held.values())))
+            held, n = {}, 0
+    return [*out, (len(out) + 1, first, at, n, len(held), sum(held.values()))] if n else out
+
+
+def test_states_between_chunks_of_overwrites():
+    rng = random.Random(2)
+    for _ in range(600):
+        limit, n_keys, sizes = rng.choice([1, 60, 300, 2000]), rng.choice([1, 3, 8, 60]), rng.choice([[40], [33, 40, 90], range(33, 200)])
+        rows = [(at, rng.choice([None, *(f"k{i}" for i in range(n_keys))]), rng.choice(sizes)) for at in range(1, rng.randrange(2, 250))]
+        batches, lo = [], 0
+        while lo < len(rows):
+            hi = lo + rng.randrange(1, 60)
+            at, key, size = zip(*rows[lo:hi], strict=True)
+            batches.append(pa.RecordBatch.from_pydict({"grp": pa.array([0] * len(at)), "at": pa.array(at), "key": pa.array(key, pa.string()), "bytes": pa.array(size)}))
+            lo = hi
+        got = []
+        for chunk, (pieces, start, number) in folds._follow_overwrites(((i, folds._overwriting_outcomes(b, limit)) for i, b in enumerate(batches)), limit):
+            for b in folds._overwritten(iter([batches[chunk].slice(start)]), limit, number, rest=False):
+                pieces += zip(*(c.to_pylist() for c in b.columns), strict=True)
+            got += pieces
+        assert sorted(got) == plain_memtables(rows, limit)
+
+
+@pytest.mark.parametrize(("limit", "n_keys"), [(2048, 1500), (500, 12), (10**6, 5)])
+def test_overwriting_rotations_sort_no_more_than_a_chunk(spark, small_chunks, limit, n_keys):
+    rng = random.Random(limit)
+    rows = [(at * 2, f"user:{rng.randrange(n_keys)}", "v" * rng.randrange(30)) for at in range(1200)]
+    log = spark.createDataFrame(rng.sample(rows, len(rows)), "seqno long, key string, value string")
+    cut = folds.overwriting_rotations(log, limit)
+    assert cut.rdd.getNumPartitions() > 50
+    assert sorted(map(tuple, cut.collect())) == plain_memtables([(at, key, len(key) + len(value) + 32) for at, key, value in rows], limit)
